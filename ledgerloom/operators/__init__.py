@@ -1,0 +1 @@
+"""Operators of the public-records ledger engine."""

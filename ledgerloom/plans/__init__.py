@@ -1,0 +1 @@
+"""Plans of the public-records ledger engine."""

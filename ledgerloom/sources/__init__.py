@@ -1,0 +1 @@
+"""Sources of the public-records ledger engine."""

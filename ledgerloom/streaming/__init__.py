@@ -1,0 +1 @@
+"""Streaming of the public-records ledger engine."""
