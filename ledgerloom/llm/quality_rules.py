@@ -248,11 +248,11 @@ def judge(docs: DataFrame, *carried: str) -> DataFrame:
                         {e["name"]: e["n"] for e in table["words"][i].as_py() or []},
                         table["n_words"][i].as_py(),
                     )
-            rows = [_judge(t or "", *refs.get(lang, (None, None, None))) for t, lang in zip(table["_text"].to_pylist(), langs, strict=True)]
+            rows = [_judge(t or "", *refs.get(lang, (None, None, None))) for t, lang in zip(table["text"].to_pylist(), langs, strict=True)]
             verdict = pa.RecordBatch.from_pylist(rows, _VERDICT)
             yield pa.RecordBatch.from_arrays([*(table[c] for c in carried), *verdict.columns], [*carried, *_VERDICT.names])
 
-    joined = _with_references(docs, *carried, F.col("text").alias("_text"))
+    joined = _with_references(docs, *carried, *([] if "text" in carried else ["text"]))
     return joined.mapInArrow(run, f"{kinds}, {_VERDICT_SQL}")
 
 

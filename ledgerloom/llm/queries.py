@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, classifier, html_extract, minhash, pii, quality_rules, substring
+from ledgerloom.llm import ann, bpe, classifier, html_extract, line_dedup, minhash, mixing, pii, quality_rules, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,14 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), "doc_id")
 
 
+def op2_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(_table(spark, sf_dir, "documents"))
 
@@ -42,9 +51,79 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_divergence, op4_substring_dedup, op5_bpe_trie, op6_byte_cnn, op7_html_tree, op8_minhash_forest, op9_pii)}
+    of = (op1_quality_divergence, op2_one_bit_ann, op3_temperature_mixing, op4_substring_dedup, op5_bpe_trie, op6_byte_cnn, op7_html_tree, op8_minhash_forest, op9_pii, op10_fuzzy_lines, pipeline)
+    return {f.__name__: f for f in of}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_one_bit_ann": ORACLE_NEAREST, "op3_temperature_mixing": ORACLE_MIXING} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+
+
+#: Brute force; at these sizes the bounds leave no neighbour out.
+ORACLE_NEAREST = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x != 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id != q.vec_id AND len(c.e) = len(q.e)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+ORACLE_MIXING = f"""
+WITH RECURSIVE each AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents
+), t AS MATERIALIZED (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS n FROM each GROUP BY source),
+a AS MATERIALIZED (SELECT list(n ORDER BY source) FILTER (n > 0) AS ns, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n > 0) AS live FROM t),
+h AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high
+  UNION ALL
+  SELECT i + 1, CASE WHEN met THEN mid ELSE low END, CASE WHEN met THEN high ELSE mid END FROM (
+    SELECT i, low, high, mid, -list_sum(list_transform(r, lambda x: (x / list_sum(r)) * ln(x / list_sum(r)))) >= {mixing.TARGET_ENTROPY} * ln(live) AS met
+    FROM (SELECT i, low, high, (low + high) / 2 AS mid, live, list_transform(ns, lambda x: pow(x / total, (low + high) / 2)) AS r FROM h, a WHERE i < {mixing.HALVINGS})
+  )
+), e AS MATERIALIZED (
+  SELECT CASE WHEN live < 2 OR -list_sum(list_transform(ns, lambda x: (x / total) * ln(x / total))) >= {mixing.TARGET_ENTROPY} * ln(live) THEN 1 ELSE low END AS x FROM h, a WHERE i = {mixing.HALVINGS}
+), g AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high
+  UNION ALL
+  SELECT i + 1, CASE WHEN fits THEN low ELSE mid END, CASE WHEN fits THEN mid ELSE high END FROM (
+    SELECT i, low, high, mid, list_bool_and(list_transform(list_zip(r, ns), lambda z: z[1] / list_sum(r) * total <= {mixing.MAX_REPEATS} * z[2])) AS fits
+    FROM (SELECT i, low, high, (low + high) / 2 AS mid, ns, total, list_transform(ns, lambda x: pow(x / total, (low + high) / 2)) AS r FROM g, a WHERE i < {mixing.HALVINGS})
+  )
+), chosen AS MATERIALIZED (
+  SELECT CASE WHEN list_bool_and(list_transform(list_zip(r, ns), lambda z: z[1] / list_sum(r) * total <= {mixing.MAX_REPEATS} * z[2])) THEN x ELSE greatest(x, high) END AS x, total, ns
+  FROM (SELECT x, total, ns, high, list_transform(ns, lambda y: pow(y / total, x)) AS r FROM e, a, g WHERE i = {mixing.HALVINGS})
+), b AS MATERIALIZED (
+  SELECT source, CASE WHEN n > 0 THEN budget // n ELSE 1 END AS f, CASE WHEN n > 0 THEN budget % n ELSE 0 END AS rest, greatest(1, (n + {mixing.BLOCK_TOKENS} - 1) // {mixing.BLOCK_TOKENS}) AS blocks
+  FROM (SELECT source, n, CAST(CAST(floor((CASE WHEN n > 0 THEN pow(n / total, x) / list_sum(list_transform(ns, lambda y: pow(y / total, x))) ELSE 0 END) * 1000000000 + 0.5) AS HUGEINT) * total // 1000000000 AS BIGINT) AS budget FROM t, chosen)
+), d AS MATERIALIZED (
+  SELECT doc_id, source, n_tokens, f, rest, CAST('0x' || substr(md5('mix:block:' || doc_id), 1, 8) AS BIGINT) % blocks AS block FROM each JOIN b USING (source)
+), begun AS (
+  SELECT source, block, coalesce(sum(n) OVER (PARTITION BY source ORDER BY o, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT source, block, sum(n_tokens) AS n, CAST('0x' || substr(md5('mix:order:' || source || ':' || block || ':' || (f + 1)), 1, 8) AS BIGINT) AS o FROM d GROUP BY source, block, f)
+), last AS (
+  SELECT doc_id, source, n_tokens, block, f + 1 AS pass, rest,
+    coalesce(sum(n_tokens) OVER (PARTITION BY source, block ORDER BY CAST('0x' || substr(md5('mix:doc:' || doc_id || ':' || (f + 1)), 1, 8) AS BIGINT), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside
+  FROM d WHERE rest > 0
+), taken AS (
+  SELECT doc_id, source, n_tokens, block, unnest(range(1, f + 1)) AS pass FROM d
+  UNION ALL SELECT doc_id, source, n_tokens, block, pass FROM last JOIN begun USING (source, block) WHERE before + inside < rest
+)
+SELECT doc_id, source, n_tokens, CAST(pass AS BIGINT) AS pass, block,
+  CAST('0x' || substr(md5('mix:order:' || source || ':' || block || ':' || pass), 1, 8) AS BIGINT) AS block_order,
+  CAST('0x' || substr(md5('mix:doc:' || doc_id || ':' || pass), 1, 8) AS BIGINT) AS doc_order
+FROM taken
+"""
