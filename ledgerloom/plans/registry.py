@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import tenders
+from ledgerloom.plans import finance, history, tenders
 
-MODULES: tuple[ModuleType, ...] = (tenders,)
+MODULES: tuple[ModuleType, ...] = (tenders, finance, history)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
