@@ -10,14 +10,14 @@ from ledgerloom.functions import money
 
 def decode_entities(text: Column) -> Column:
     """The listed named references and numeric ones of the first plane; the ampersand last."""
-    out = text
+    out, untouched = text, ~F.contains(text, F.lit("&"))
     for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         out = F.replace(out, F.lit(name), F.lit(value))
     codes = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#([0-9]{1,5});"), F.lit(1)))
     out = F.aggregate(codes, out, lambda s, c: F.replace(s, F.concat(F.lit("&#"), c, F.lit(";")), F.when(c.cast("int") < 256, F.char(c.cast("bigint"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(c.cast("bigint")), 4, "0")), "UTF-16BE"))))
     hexes = F.array_distinct(F.regexp_extract_all(out, F.lit(r"(?i)&#x([0-9a-f]{1,4});"), F.lit(1)))
     out = F.aggregate(hexes, out, lambda s, c: F.regexp_replace(s, F.concat(F.lit("(?i)&#x"), c, F.lit(";")), F.decode(F.unhex(F.lpad(c, 4, "0")), "UTF-16BE")))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    return F.when(untouched, text).otherwise(F.replace(out, F.lit("&amp;"), F.lit("&")))
 
 
 def plain(cell: Column) -> Column:
@@ -41,8 +41,8 @@ def labelled_values(html: Column) -> Column:
     """map<label, value>: neighbouring cells as label and value, the first of a label wins; labels of up to 48 characters."""
     pairs = F.flatten(F.transform(rows_by_pattern(html), lambda r: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(r) - 2, F.lit(0)), F.lit(1)), lambda i: F.size(r) >= 2), lambda i: F.struct(F.get(r, i).alias("k"), F.get(r, i + 1).alias("v")))))
     sound = F.filter(pairs, lambda p: (p["k"] != "") & (F.length(p["k"]) <= 48) & (p["k"] != p["v"]))
-    firsts = F.filter(sound, lambda p, i: F.array_position(F.transform(sound, lambda q: q["k"]), p["k"]) == i + 1)
-    return F.map_from_entries(firsts)
+    none = F.expr("cast(map() AS map<string, string>)")
+    return F.aggregate(sound, none, lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))))
 
 
 def stated_fields(html: Column) -> Column:
