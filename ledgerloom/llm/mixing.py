@@ -76,10 +76,10 @@ def solve(tokens: dict[str, int], target_entropy: float | None = TARGET_ENTROPY,
     return exponent, weights_at(tokens, exponent)
 
 
-def counted(docs: DataFrame, text_col: str, source_col: str) -> DataFrame:
-    """The documents with _source and _tokens (words)."""
-    tokens = F.coalesce(F.regexp_count(text_col, F.lit(_WORDS)), F.lit(0)).cast("long")
-    return docs.withColumns({"_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_tokens": tokens})
+def counted(docs: DataFrame, text_col: str, source_col: str, *carried) -> DataFrame:
+    """_source and _tokens (words) of the documents, with what is carried."""
+    tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORDS)), F.lit(0)).cast("long")
+    return docs.select(*carried, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"), tokens.alias("_tokens"))
 
 
 def source_tokens(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> dict[str, int]:
@@ -96,10 +96,15 @@ def _draw(*what) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), *what).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def plan(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_repeats: float | None = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", totals: dict[str, int] | None = None) -> DataFrame:
-    """One row for each time that a document is taken: the input's columns, _source, _tokens, _pass, _block_rank and _rank (places in the pass and in the block)."""
+def plan(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_repeats: float | None = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carried: list[str] | None = None) -> DataFrame:
+    """One row for each time that a document is taken.
+
+    doc (the carried columns as a struct, so that their names clash with nothing), _source, _tokens, _pass,
+    _block, and the numbers that order the blocks of a pass (_block_order) and a block's documents (_doc_order).
+    """
     spark = docs.sparkSession
-    totals = source_tokens(docs, text_col, source_col) if totals is None else totals
+    carried = docs.columns if carried is None else carried
+    totals = source_tokens(docs, text_col, source_col)
     total = sum(totals.values())
     _, weights = solve(totals, target_entropy, max_repeats)
     rows = []
@@ -108,9 +113,9 @@ def plan(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_rep
         full, rest = divmod(budget, n) if n else (1, 0)
         rows.append((s, full, rest, max(1, -(-n // BLOCK_TOKENS))))
     budgets = spark.createDataFrame(rows, "_source string, _full bigint, _rest bigint, _blocks bigint")
-    each = counted(docs, text_col, source_col)
+    each = counted(docs, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc"), F.col(id_col).alias("_id"))
     dealt = each.join(F.broadcast(budgets) if len(rows) <= 10_000 else budgets, "_source")
-    dealt = dealt.withColumn("_block", F.pmod(_draw(F.lit("block"), F.col(id_col)), F.col("_blocks")))
+    dealt = dealt.withColumn("_block", F.pmod(_draw(F.lit("block"), F.col("_id")), F.col("_blocks")))
 
     full = dealt.withColumn("_pass", F.explode(F.expr("CASE WHEN _full > 0 THEN sequence(1, _full) END")))
     # the last pass: sums of blocks give where each block begins, so only its own documents are ordered in it
@@ -118,19 +123,19 @@ def plan(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_rep
     in_pass = W.partitionBy("_source").orderBy("_order", "_block")
     order = _draw(F.lit("order"), F.col("_source"), F.col("_block"), F.col("_full") + 1)
     begun = blocks.withColumn("_order", order).withColumn("_before", F.sum("_n").over(in_pass) - F.col("_n")).select("_source", "_block", "_before")
-    in_block = W.partitionBy("_source", "_block").orderBy("_draw", id_col, "_tokens")
-    last = dealt.where("_rest > 0").withColumn("_draw", _draw(F.lit("doc"), F.col(id_col), F.col("_full") + 1)).withColumn("_inside", F.sum("_tokens").over(in_block.rowsBetween(W.unboundedPreceding, 0)) - F.col("_tokens"))
+    in_block = W.partitionBy("_source", "_block").orderBy("_draw", "_id", "_tokens").rowsBetween(W.unboundedPreceding, 0)
+    last = dealt.where("_rest > 0").withColumn("_draw", _draw(F.lit("doc"), F.col("_id"), F.col("_full") + 1)).withColumn("_inside", F.sum("_tokens").over(in_block) - F.col("_tokens"))
     last = last.join(begun, ["_source", "_block"]).where("_before + _inside < _rest").withColumn("_pass", F.col("_full") + 1)
-    taken = full.select(*docs.columns, "_source", "_tokens", "_block", "_pass").unionByName(last.select(*docs.columns, "_source", "_tokens", "_block", "_pass"))
-    return taken.withColumn("_block_order", _draw(F.lit("order"), F.col("_source"), F.col("_block"), F.col("_pass"))).withColumn("_doc_order", _draw(F.lit("doc"), F.col(id_col), F.col("_pass")))
+    columns = ["doc", "_id", "_source", "_tokens", "_block", "_pass"]
+    taken = full.select(*columns).unionByName(last.select(*columns))
+    return taken.withColumn("_block_order", _draw(F.lit("order"), F.col("_source"), F.col("_block"), F.col("_pass"))).withColumn("_doc_order", _draw(F.lit("doc"), F.col("_id"), F.col("_pass"))).drop("_id")
 
 
 def mix(docs: DataFrame, **target) -> DataFrame:
     """The mixed documents with the input's columns; a document comes as often as its passes take it."""
-    return plan(docs, **target).select(*docs.columns)
+    return plan(docs, **target).select("doc.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row for each time that a document is taken, with the keys that order the mix."""
-    keys = docs.select("doc_id", "source", "text")
-    return plan(keys).select("doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_pass").alias("pass"), F.col("_block").alias("block"), F.col("_block_order").alias("block_order"), F.col("_doc_order").alias("doc_order"))
+    return plan(docs, carried=["doc_id"]).select("doc.doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_pass").alias("pass"), F.col("_block").alias("block"), F.col("_block_order").alias("block_order"), F.col("_doc_order").alias("doc_order"))

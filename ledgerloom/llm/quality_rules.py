@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
+from pyspark.sql.types import StructField, StructType
 
 from ledgerloom.llm.text import bounded_batches
 
@@ -218,45 +219,41 @@ def _judge(text: str, classes: dict[str, int] | None, words: dict[str, int] | No
     return row
 
 
-_VERDICT = pa.schema(
+_VERDICT = pa.struct(
     [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64())]
 )
-_VERDICT_SQL = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, class_distance double, word_distance double"
+_VERDICT_SQL = "struct<n_words: bigint, word_chars: bigint, n_symbols: bigint, n_dup_lines: bigint, n_repeat_words: bigint, base_failed: boolean, kept: boolean, class_distance: double, word_distance: double>"
 
 
-def _with_references(docs: DataFrame, *columns: str) -> DataFrame:
-    refs = references(docs).withColumnRenamed("lang", "_lang")
+def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass 3. Columns: the carried struct, text, and the language's reference."""
+    refs: dict[str, tuple] = {}
+    for batch in batches:
+        langs = batch.column(2).to_pylist()
+        for i, lang in enumerate(langs):
+            if lang is not None and lang not in refs:
+                classes, words, total = (batch.column(k)[i].as_py() for k in (3, 4, 5))
+                refs[lang] = ({e["name"]: e["n"] for e in classes or []}, {e["name"]: e["n"] for e in words or []}, total)
+        rows = [_judge(t or "", *refs.get(lang, (None, None, None))) for t, lang in zip(batch.column(1).to_pylist(), langs, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _VERDICT)], ["doc", "verdict"])
+
+
+def _judged(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """(doc, verdict): the carried columns as one struct, so that their names clash with nothing, and the verdict."""
+    refs = references(docs).select(F.col("lang").alias("_lang"), "classes", "words", "n_words")
     few = refs.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
-    left = docs.select(*columns, F.coalesce("lang", F.lit("")).alias("_of"))
-    return left.join(broadcast(refs) if few else refs, F.col("_of") == F.col("_lang"), "left")
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_doc"), F.col("text").alias("_text"), F.coalesce(F.col("lang"), F.lit("")).alias("_of"))
+    joined = left.join(broadcast(refs) if few else refs, F.col("_of") == F.col("_lang"), "left")
+    schema = StructType([StructField("doc", StructType([docs.schema[c] for c in carried])), *StructType.fromDDL(f"verdict {_VERDICT_SQL}").fields])
+    return joined.select("_doc", "_text", "_lang", "classes", "words", "n_words").mapInArrow(_verdicts, schema)
 
 
 def judge(docs: DataFrame, *carried: str) -> DataFrame:
     """The carried columns of every document with the base columns, both distances and the verdict."""
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            refs: dict[str, tuple] = {}
-            langs = table["_lang"].to_pylist()
-            for i, lang in enumerate(langs):
-                if lang is not None and lang not in refs:
-                    refs[lang] = (
-                        {e["name"]: e["n"] for e in table["classes"][i].as_py() or []},
-                        {e["name"]: e["n"] for e in table["words"][i].as_py() or []},
-                        table["n_words"][i].as_py(),
-                    )
-            rows = [_judge(t or "", *refs.get(lang, (None, None, None))) for t, lang in zip(table["text"].to_pylist(), langs, strict=True)]
-            verdict = pa.RecordBatch.from_pylist(rows, _VERDICT)
-            yield pa.RecordBatch.from_arrays([*(table[c] for c in carried), *verdict.columns], [*carried, *_VERDICT.names])
-
-    joined = _with_references(docs, *carried, *([] if "text" in carried else ["text"]))
-    return joined.mapInArrow(run, f"{kinds}, {_VERDICT_SQL}")
+    return _judged(docs, list(carried)).select("doc.*", "verdict.*")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns that they came with."""
-    columns = docs.columns
-    return judge(docs, *columns).where("kept").select(*columns)
+    return _judged(docs, docs.columns).where("verdict.kept").select("doc.*")
