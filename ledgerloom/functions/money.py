@@ -35,7 +35,7 @@ def shifted_to_paise(raw: Column, shift: Column | int) -> Column:
         F.when(absent, None)
         .when(whole == "", "not an amount")
         .when(F.length(fraction) > shift, "sub-paise precision")
-        .when(F.length(F.ltrim(F.lit("0"), digits)) > _MOST_DIGITS, "too many digits")
+        .when(F.length(F.ltrim(digits, F.lit("0"))) > _MOST_DIGITS, "too many digits")
     )
     paise = F.when(~absent & refusal.isNull(), F.concat(sign, digits).try_cast(PAISE))
     return F.struct(paise.alias("paise"), refusal.alias("refusal"))

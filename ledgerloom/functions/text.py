@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import money
 
@@ -26,6 +27,7 @@ OFFICE_GRADE = r"(?iU)\s+(?:[bshg]\.?\s?o\.?|gpo|head office|sub office|branch o
 SUBSTITUTED_GLYPH = r"[\x{0900}-\x{097F}][A-Za-z<>{}\[\]!@#$%^&*|~`]|[A-Za-z<>{}\[\]!@#$%^&*|~`][\x{0900}-\x{097F}]"
 ENOUGH_DEVANAGARI = 20
 CONTEXT_CHARS = 160
+_LOCATED = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _DEVANAGARI, _TAMIL, _LATIN = r"[\x{0900}-\x{097F}]", r"[\x{0B80}-\x{0BFF}]", r"\p{IsLatin}"
 
 
@@ -60,7 +62,7 @@ def sentences(page: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
-@F.pandas_udf("array<struct<text:string,start:int,end:int>>")
+@F.pandas_udf(_LOCATED)
 def located_sentences(pages: pd.Series) -> pd.Series:
     """Sentences with the page offsets of their first and past-last characters."""
     import re
@@ -158,7 +160,7 @@ def optional_text(text: Column) -> Column:
     return F.when(F.upper(trimmed).isin(*{a.upper() for a in money.ABSENT}), None).otherwise(trimmed)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
