@@ -51,12 +51,14 @@ def day_first_date(text: Column) -> Column:
 
 
 def marathi_hour(period: Column, hour: Column) -> Column:
-    """The 24-hour hour of a part of the day, or null where the part and the hour disagree."""
-    return (
-        F.when(period == "सकाळी", F.when(hour.between(5, 12), hour % 12 + F.when(hour == 12, 12).otherwise(0)))
-        .when(period == "दुपारी", F.when(hour == 12, 12).when(hour.between(1, 5), hour + 12))
-        .when(period == "सायंकाळी", F.when(hour.between(4, 8), hour + 12))
-        .when(period == "रात्री", F.when(hour.between(7, 11), hour + 12).when(hour == 12, 0))
+    """The 24-hour hour of a named part of the day, or null where no clock shows it."""
+    evening = period.isin("सायंकाळी", "संध्याकाळी")
+    return F.when(
+        hour.between(1, 12),
+        F.when(period == "सकाळी", F.when(hour == 12, 0).otherwise(hour))
+        .when(period == "दुपारी", F.when(hour == 12, 12).when(hour <= 6, hour + 12))
+        .when(evening, F.when(hour < 12, hour + 12))
+        .when(period == "रात्री", F.when(hour.between(7, 11), hour + 12)),
     )
 
 

@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import documents, finance, history, pages, places, tenders
+from ledgerloom.plans import documents, finance, history, notices, pages, places, tenders
 
-MODULES: tuple[ModuleType, ...] = (tenders, finance, history, documents, places, pages)
+MODULES: tuple[ModuleType, ...] = (tenders, finance, history, documents, places, pages, notices)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
