@@ -32,16 +32,6 @@ def keyed(districts: DataFrame) -> DataFrame:
     return districts.select(F.col("id").alias("district_id"), text.district_key(F.col("name_en")).alias("key"), text.strict_key(F.col("name_en")).alias("strict"))
 
 
-def by_name(clues: DataFrame, districts: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(id, district_id, method, evidence): the district that the tender names, as spelled or by a reviewed alias."""
-    named = clues.where(F.col("district_name").isNotNull()).select("id", text.district_key(F.col("district_name")).alias("key"), F.col("district_source").alias("method"))
-    hit = named.join(keyed(districts).select("key", "district_id"), "key", "left").withColumn("evidence", F.lit(None).cast("string"))
-    if aliases is not None:
-        other = aliases.select(F.col("key"), F.col("district_id").alias("_other"), F.concat(F.lit("alias:"), F.col("alias")).alias("_alias"))
-        hit = hit.join(other, "key", "left").withColumn("evidence", F.when(F.col("district_id").isNull(), F.col("_alias"))).withColumn("district_id", F.coalesce("district_id", "_other"))
-    return hit.where("district_id IS NOT NULL").select("id", "district_id", "method", "evidence")
-
-
 def by_location(clues: DataFrame, districts: DataFrame) -> DataFrame:
     """Exactly one district named by whole pieces of the location, and no other by any word in it."""
     index = keyed(districts)
@@ -54,18 +44,31 @@ def by_location(clues: DataFrame, districts: DataFrame) -> DataFrame:
     return found.where("_whole AND _low = _high").join(at, "id").select("id", F.col("_low").alias("district_id"), F.lit("location_district").alias("method"), F.trim("location").alias("evidence"))
 
 
-def by_key(clues: DataFrame, column: Column, directory: DataFrame, key: str, method: str) -> DataFrame:
-    """A directory entry (pincode, post office) that lies in exactly one district."""
-    wanted = clues.select("id", column.alias(key)).where(F.col(key).isNotNull())
-    return wanted.join(unique_by(directory, key, "district_id"), key).select("id", "district_id", F.lit(method).alias("method"), F.col(key).cast("string").alias("evidence"))
+def resolve(clues: DataFrame, districts: DataFrame, pincodes: DataFrame | None = None, offices: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """Every clue row with its placement, or none: id, district_id, method, confidence, evidence.
 
+    clues: id, district_name, district_source, location, pincode, office. In order: the district that is
+    named, as spelled or by a reviewed alias (key, district_id, alias); the only one that the location names;
+    the only one of the pincode's offices (pincode, district_id); the only one of the post office (office,
+    district_id). One pass of left joins; only clues with a location are exploded.
+    """
+    rows = clues.withColumn("_key", text.district_key(F.col("district_name")))
+    rows = rows.join(keyed(districts).select(F.col("key").alias("_key"), F.col("district_id").alias("_named")), "_key", "left")
+    none = F.struct(F.lit(None).cast("long").alias("district_id"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("evidence"))
 
-def ladder(clues: DataFrame, *rules: DataFrame) -> DataFrame:
-    """Every clue row with the first rule's placement, or none: id, district_id, method, confidence, evidence."""
-    ranked = None
-    for i, rule in enumerate(rules):
-        step = rule.select("id", F.struct(F.lit(i).alias("rank"), "district_id", "method", "evidence").alias("found"))
-        ranked = step if ranked is None else ranked.unionByName(step)
-    best = ranked.groupBy("id").agg(F.min("found").alias("found"))
-    joined = clues.select("id").join(best, "id", "left")
-    return joined.select("id", "found.district_id", "found.method", confidence(F.col("found.method")).alias("confidence"), "found.evidence")
+    def step(found: str, method: Column, evidence: Column) -> Column:
+        return F.when(F.col(found).isNotNull(), F.struct(F.col(found).alias("district_id"), method.alias("method"), evidence.cast("string").alias("evidence")))
+
+    ladder = [step("_named", F.col("district_source"), F.lit(None))]
+    if aliases is not None:
+        rows = rows.join(aliases.select(F.col("key").alias("_key"), F.col("district_id").alias("_aliased"), "alias"), "_key", "left")
+        ladder.append(step("_aliased", F.col("district_source"), F.concat(F.lit("alias:"), F.col("alias"))))
+    located = by_location(clues, districts).select("id", F.col("district_id").alias("_located"), F.col("evidence").alias("_text"))
+    rows = rows.join(located, "id", "left")
+    ladder.append(step("_located", F.lit("location_district"), F.col("_text")))
+    for directory, key, method in ((pincodes, "pincode", "pincode"), (offices, "office", "place_name")):
+        if directory is not None:
+            rows = rows.join(unique_by(directory, key, "district_id").withColumnRenamed("district_id", f"_{key}"), key, "left")
+            ladder.append(step(f"_{key}", F.lit(method), F.col(key)))
+    found = F.coalesce(*ladder, none)
+    return rows.select("id", found.alias("f")).select("id", "f.district_id", "f.method", confidence(F.col("f.method")).alias("confidence"), "f.evidence")

@@ -54,7 +54,7 @@ def resolve_district(spark, sf_dir):
     pincodes = homes.select((F.col("s_suppkey") % 400).alias("pincode"), "district_id")
     offices = homes.select(F.concat(F.lit("Office "), (F.col("s_suppkey") % 300).cast("string")).alias("office"), "district_id")
     districts = x.raw("nation").select((F.col("n_nationkey") + 1000).cast("long").alias("id"), _name().alias("name_en"))
-    return resolve.ladder(clues, resolve.by_name(clues, districts), resolve.by_location(clues, districts), resolve.by_key(clues, F.col("pincode"), pincodes, "pincode", "pincode"), resolve.by_key(clues, F.col("office"), offices, "office", "place_name"))
+    return resolve.resolve(clues, districts, pincodes, offices)
 
 
 def _boundaries(x):

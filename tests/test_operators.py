@@ -50,10 +50,10 @@ def test_history_and_pace(spark):
 
 def test_resolution_ladder(spark):
     districts = spark.createDataFrame([(1, "Villupuram"), (2, "Namchi"), (3, "Gyalshing")], "id bigint, name_en string")
-    clues = spark.createDataFrame([(1, "Viluppuram", "chain_unit", None, None), (2, None, None, "Rangpo, Kitchudumra Namchi, Gyalshing", None), (3, None, None, "Namchi District", "5"), (4, None, None, None, "5"), (5, None, None, None, "6"), (6, "Vpm", "office_code", None, None)], "id bigint, district_name string, district_source string, location string, pin string")
-    directory = spark.createDataFrame([("5", 3), ("5", 3), ("6", 1), ("6", 2)], "pin string, district_id bigint")
+    clues = spark.createDataFrame([(1, "Viluppuram", "chain_unit", None, None, None), (2, None, None, "Rangpo, Kitchudumra Namchi, Gyalshing", None, None), (3, None, None, "Namchi District", "5", None), (4, None, None, None, "5", None), (5, None, None, None, "6", None), (6, "Vpm", "office_code", None, None, None)], "id bigint, district_name string, district_source string, location string, pincode string, office string")
+    directory = spark.createDataFrame([("5", 3), ("5", 3), ("6", 1), ("6", 2)], "pincode string, district_id bigint")
     aliases = spark.createDataFrame([("vpm", 1, "Vpm")], "key string, district_id bigint, alias string")
-    got = {r.id: (r.district_id, r.method, r.evidence) for r in resolve.ladder(clues, resolve.by_name(clues, districts, aliases), resolve.by_location(clues, districts), resolve.by_key(clues, F.col("pin"), directory, "pin", "pincode")).collect()}
+    got = {r.id: (r.district_id, r.method, r.evidence) for r in resolve.resolve(clues, districts, directory, None, aliases).collect()}
     assert got == {1: (1, "chain_unit", None), 2: (None, None, None), 3: (2, "location_district", "Namchi District"), 4: (3, "pincode", "5"), 5: (None, None, None), 6: (1, "office_code", "alias:Vpm")}
 
 
