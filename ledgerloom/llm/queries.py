@@ -65,7 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_one_bit_ann": ORACLE_NEAREST, "op3_temperature_mixing": ORACLE_MIXING} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_one_bit_ann": ORACLE_NEAREST, "op3_temperature_mixing": ORACLE_MIXING, "op4_substring_dedup": ORACLE_WINDOWS, "op8_minhash_forest": ORACLE_COMPONENTS} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 #: Brute force; at these sizes the bounds leave no neighbour out.
@@ -127,3 +127,29 @@ SELECT doc_id, source, n_tokens, CAST(pass AS BIGINT) AS pass, block,
   CAST('0x' || substr(md5('mix:doc:' || doc_id || ':' || pass), 1, 8) AS BIGINT) AS doc_order
 FROM taken
 """
+
+#: Every window as text: its smallest document, and the words that a repeated window covers.
+ORACLE_WINDOWS = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT doc_id, i, w, CASE WHEN count(*) OVER f = {substring.WIDTH} THEN string_agg(w, ' ') OVER f END AS k FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {substring.WIDTH - 1} FOLLOWING)),
+m AS (SELECT k, min(doc_id) AS first FROM g WHERE k IS NOT NULL GROUP BY k),
+h AS (SELECT doc_id, i, w, max(coalesce(first < doc_id, false)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {substring.WIDTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM g LEFT JOIN m USING (k)),
+r AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM h GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
+
+#: Pairs that share one of the rarest shingles that an alike pair must share, confirmed on full sets; then reachability.
+ORACLE_COMPONENTS = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) >= 2 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) ELSE ws END AS sh FROM d),
+e AS MATERIALIZED (SELECT doc_id, unnest(sh) AS x, len(sh) AS n FROM s),
+f AS MATERIALIZED (SELECT x, count(*) AS c FROM e GROUP BY x),
+p AS MATERIALIZED (SELECT doc_id, x FROM (SELECT doc_id, x, n, row_number() OVER (PARTITION BY doc_id ORDER BY c, x) AS k FROM e JOIN f USING (x)) WHERE k <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1),
+c AS MATERIALIZED (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, len(list_intersect(x.sh, y.sh)) AS i, len(x.sh) + len(y.sh) AS n FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b) WHERE 100 * i >= 80 * (n - i)),
+u AS MATERIALIZED (SELECT a AS v, b AS w FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT v AS root, v AS reached FROM u UNION SELECT r.root, u.w FROM r JOIN u ON u.v = r.reached),
+m AS (SELECT root, min(reached) AS component_id FROM r GROUP BY root)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN m ON m.root = s.doc_id
+"""
