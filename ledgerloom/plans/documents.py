@@ -148,6 +148,8 @@ SQL = {
     "review_progress": with_tables("SELECT source, count(*) FILTER (WHERE verification_status = 'unverified') AS unverified, count(*) FILTER (WHERE verification_status = 'verified') AS verified, count(*) FILTER (WHERE verification_status = 'corrected') AS corrected, count(*) FILTER (WHERE verification_status = 'rejected') AS rejected FROM document GROUP BY source", "document"),
     "stratified_sample": "SELECT lang, doc_id AS id, CAST(row_number() OVER (PARTITION BY lang ORDER BY md5('sample:' || doc_id)) AS INTEGER) AS place FROM documents QUALIFY place <= 20",
     "distinct_on_sentence": "SELECT DISTINCT ON (source, line) id, source, md5(line) AS line_md5 FROM (SELECT doc_id AS id, source, split_part(text, chr(10), 1) AS line FROM documents) ORDER BY source, line, id",
+    "sentence_counts": r"""SELECT doc_id AS id, len(s) AS sentences, list_max(list_transform(s, lambda x: length(x))) AS longest FROM (SELECT doc_id, list_filter(list_transform(string_split(
+  regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '\b(M/s|No|Rs)\. ', '\1' || chr(1) || ' ', 'g'), '(^|[^A-Z])\. ([A-Z₹(])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda x: trim(x)), lambda x: x != '') AS s FROM documents)""",
     "script_and_half": r"""SELECT lang, CASE WHEN regexp_matches(text, '\p{Latin}') THEN 'latin' ELSE 'none' END AS script, 'latin' AS half, regexp_matches(text, '(?i)\(\s*(?:₹|Rs\.?|amount|amounts|रक्कम)?[^)\d]{0,18}?(?:crore|lakh|thousand|कोट|िोट|ोट|लाख|हजार)[^)\d]{0,10}\)|(?:₹|\bRs\.?|amount|amounts)\s*(?:are\s+)?in\s+(?:crore|lakh|thousand)') AS declares_unit,
   len(regexp_extract_all(text, '[`´]\s?[0-9][0-9,]*(?:\.[0-9]+)?')) >= 2 AS lost_mark, count(*) AS documents, CAST(sum(len(regexp_extract_all(text, '[`´]\s?[0-9][0-9,]*(?:\.[0-9]+)?'))) AS BIGINT) AS marks FROM documents GROUP BY ALL""",
     "secret_scrub": r"""SELECT doc_id AS id, md5(scrubbed) AS scrubbed_md5 FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '\b([a-z][a-z0-9+.-]*://[^\s:/@]+):[^\s@]+@', '\1:[redacted]@', 'gi'), '\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]{8,}', '\1 [redacted]', 'gi'),
