@@ -7,7 +7,7 @@ A histogram of a text below its length guard is not judged.
 
 Three passes, none of which moves text between tasks:
 
-1. Every group of documents in a task counts its words and names those with half of COMMON_SHARE of a
+1. Every group of passing documents in a task counts its words and names those with half of COMMON_SHARE of a
    language's words in the group, with their gain: their count above that half. A word with COMMON_SHARE
    overall has, over the groups that name it, a gain of half of COMMON_SHARE of all words or more, since the
    other groups hold less than the half. Words of less gain go; at most 2 / COMMON_SHARE a language stay.
@@ -83,6 +83,14 @@ def repeated_window_words(words: list[bytes], width: int = 8) -> int:
     n = len(words) - width + 1
     if n < 2:
         return 0
+    hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    span = 1
+    while span < width:  # hashes of windows: if all differ, no window occurs twice
+        hashes = hashes[:-span] * np.uint64(0x9E3779B97F4A7C15) + (hashes[span:] ^ (hashes[span:] >> np.uint64(29)))
+        span *= 2
+    hashes.sort()
+    if not (hashes[1:] == hashes[:-1]).any():
+        return 0
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
     span = 1
@@ -100,6 +108,16 @@ def repeated_window_words(words: list[bytes], width: int = 8) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 20 or 100 * n_repeat_words > 30 * n_words
+
+
+def counts_for_reference(text: str) -> bool:
+    """Whether a text passes the base rules, so that its language's reference counts it."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    return len(words) >= 20 and not base_failed(len(words), repeated_window_words(words))
+
+
 def base_features(text: str) -> dict:
     """The base columns of one text."""
     data = text.encode("utf-8", "surrogatepass")
@@ -119,7 +137,7 @@ def base_features(text: str) -> dict:
         "n_symbols": sum(map(text.count, _SYMBOLS)),
         "n_dup_lines": dup_lines,
         "n_repeat_words": repeats,
-        "base_failed": len(words) < 20 or 100 * repeats > 30 * len(words),
+        "base_failed": base_failed(len(words), repeats),
     }
 
 
@@ -149,6 +167,8 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(gains), pa.string()), pa.array(gains.keys(), pa.string()), pa.array(gains.values(), pa.float64())], ["lang", "word", "gain"])
 
     for lang, text in _rows(batches):
+        if not counts_for_reference(text):
+            continue
         words = text.split()
         counts.setdefault(lang, Counter()).update(words)
         totals[lang] += len(words)
@@ -159,15 +179,15 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(words_of: dict[str, set[str]]):
-    """Pass 2: exact counts of the named words, and the class counts, of the documents of twenty words or more."""
+    """Pass 2: exact counts of the named words, and the class counts, of the documents that pass the base rules."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
         classes: dict[str, np.ndarray] = {}
         for lang, text in _rows(batches):
-            got = text.split()
-            if len(got) < 20:
+            if not counts_for_reference(text):
                 continue
+            got = text.split()
             mine = words.setdefault(lang, Counter())
             named = words_of.get(lang, ())
             hits = Counter(w for w in got if w in named)

@@ -107,6 +107,20 @@ def test_quality_rejects_what_is_unlike_its_language(spark):
     assert quality_rules.jensen_shannon(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1) and quality_rules.jensen_shannon(np.ones(3), np.ones(3)) == pytest.approx(0)
 
 
+def test_quality_references_leave_out_what_fails_the_base_rules(spark):
+    """A third of the language's words are repeated windows of junk; the clean documents stay."""
+    draw = random.Random(5)
+    common = ["the", "of", "and", "to", "in", "is"]
+    clean = lambda: " ".join(draw.choice(common) if draw.random() < 0.4 else "".join(draw.choice("etaoinshr") for _ in range(6)) for _ in range(600))
+    junk = " ".join(["buy cheap pills online now best price today"] * 75)
+    rows = [(i, clean(), "en", "s", 0) for i in range(60)] + [(100 + i, junk, "en", "hot", 0) for i in range(30)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in quality_rules.judge(frame, "doc_id").collect()}
+    assert all(got[100 + i].base_failed for i in range(30)) and all(got[i].kept for i in range(60))
+    reference = quality_rules.references(frame).first()
+    assert reference.n_words == 60 * 600 and not {"buy", "pills"} & {e.name for e in reference.words}
+
+
 def test_quality_common_words_do_not_depend_on_grouping(docs, monkeypatch):
     shape = lambda rows: sorted((r.lang, tuple(map(tuple, r.classes)), tuple(map(tuple, r.words)), r.n_words) for r in rows)
     one = shape(quality_rules.references(docs.coalesce(1)).collect())
