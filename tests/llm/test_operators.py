@@ -320,6 +320,23 @@ def test_fuzzy_lines(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def found_pairs(spark, lines: list[tuple[str, str]], others: list[str] = ()) -> int:
+    """How many of the pairs lose their second line; the other lines all stay."""
+    text = "\n".join([*others, *(x for pair in lines for x in pair)])
+    got = line_dedup.removed_lines(spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA)).first()
+    removed = set(got.removed) if got else set()
+    assert removed <= {len(others) + 2 * i + 1 for i in range(len(lines))}
+    return len(removed)
+
+
+def test_short_fuzzy_lines_at_the_threshold(spark):
+    """Eight common shingles and one of its own in each line: a similarity of exactly 0.8."""
+    draw = random.Random(6)
+    some = lambda k: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    stems = [some(line_dedup.SHINGLE + 7) for _ in range(4000)]
+    assert found_pairs(spark, [(s + "1", s + "2") for s in stems]) >= 3960
+
+
 def test_nearest_neighbours(spark):
     draw = np.random.default_rng(4)
     v = draw.normal(size=(1500, 32))
