@@ -337,6 +337,17 @@ def test_short_fuzzy_lines_at_the_threshold(spark):
     assert found_pairs(spark, [(s + "1", s + "2") for s in stems]) >= 3960
 
 
+def test_fuzzy_lines_with_one_changed_character(spark):
+    """The width of shingles is five characters: an inner edit keeps lines of 49 characters, not of 48, at 0.8."""
+    assert line_dedup.SHINGLE == 5
+    draw = random.Random(8)
+    some = lambda k: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    edited = lambda x: (x, f"{x[:20]}7{x[21:]}")
+    assert found_pairs(spark, [edited(some(55)) for _ in range(300)]) >= 297
+    assert found_pairs(spark, [edited(some(49)) for _ in range(300)]) >= 294
+    assert found_pairs(spark, [edited(some(48)) for _ in range(300)]) == 0
+
+
 def test_nearest_neighbours(spark):
     draw = np.random.default_rng(4)
     v = draw.normal(size=(1500, 32))
