@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -348,6 +349,17 @@ def test_fuzzy_lines_with_one_changed_character(spark):
     assert found_pairs(spark, [edited(some(48)) for _ in range(300)]) == 0
 
 
+@pytest.mark.parametrize("crowd", [300, 1500])
+def test_fuzzy_lines_in_a_crowd_below_the_threshold(spark, crowd):
+    """Template lines alike at 0.74 with one changing field hide no pair alike at 0.81."""
+    draw = random.Random(crowd)
+    some = lambda k: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    stem = some(77)
+    starts = ["".join(t) for t in draw.sample(list(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4)), crowd + 100)]
+    pairs = [(f"{stem}{t}{some(9)}", f"{stem}{t}{some(9)}") for t in starts[crowd:]]
+    assert found_pairs(spark, pairs, [stem + t + some(9) for t in starts[:crowd]]) >= 98
+
+
 def test_nearest_neighbours(spark):
     draw = np.random.default_rng(4)
     v = draw.normal(size=(1500, 32))
