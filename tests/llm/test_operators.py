@@ -258,6 +258,20 @@ def test_minhash_components(spark, size):
     assert kept.columns == SCHEMA_COLUMNS and {r.doc_id for r in kept.collect()} == {i for i in sets if want[i] == i}
 
 
+def test_minhash_in_a_crowd_below_the_threshold(spark):
+    """Documents alike at 0.77 with one changing passage hide no pair alike at 0.81."""
+    draw = random.Random(12)
+    some = lambda k: [" " + "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(k)]
+    stem = some(86)
+    texts = [stem + some(13) for _ in range(800)]
+    for _ in range(100):
+        start = some(3)
+        texts += [stem + start + some(10), stem + start + some(10)]
+    rows = [(i, "".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {801 + 2 * i: 800 + 2 * i for i in range(100)}
+
+
 SCHEMA_COLUMNS = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 
 
