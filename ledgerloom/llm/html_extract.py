@@ -6,17 +6,23 @@ smaller part. A container's points are discounted by its link density. The best
 those of its siblings that score or read like it; blocks of text come out in page order.
 
 Never text: scripts, styles, markup, comments, menus, headers and footers of the page, sidebars, forms,
-notices, adverts and reader comments (by element name, role, or words in class and id).
+notices, adverts and reader comments (by element name, role, or words in class and id). A form that wraps more
+than half of the page's paragraph text is a container like any other; its controls go.
+
+Points go to five ancestors at most: the shares beyond are too small to choose a container by.
 
 Defined cases: null, empty and broken markup give the empty text where there is none; a page without any
-scoring paragraph gives its blocks outside the dropped parts; unclosed elements end with their parent;
-repeated rows give a row each; empty tables give empty tables.
+scoring paragraph gives its blocks outside the dropped parts; unclosed elements end with their parent; a quote
+inside an unquoted attribute is part of it; of containers with equal points the one that was scored first, in
+page order, is best; very long pages and any number of stray end tags take linear time; repeated rows give a row
+each; null ids and urls stay null; empty tables give empty tables; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,7 +52,7 @@ CLOSES = {
 FENCES = {"li": frozenset({"ul", "ol", "menu", "dir"}), "dt": frozenset({"dl"}), "dd": frozenset({"dl"}), "tr": frozenset({"table"}), "td": frozenset({"table", "tr"}), "th": frozenset({"table", "tr"})}
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup tt u var".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-hidden|hidden|style|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|cookies?|disqus|extra|footer|foot|gdpr|header|legends|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|pager|pagination|popup|promo\w*|related|remark|replies|reply|respond|rss|share|sharing|shoutbox|sidebar|signup|skyscraper|social|sponsor\w*|subscribe|taboola|tags|toolbar|widget)(?:$|[\s_-]|\d)",
@@ -73,6 +79,17 @@ def parse(markup: str) -> Node:
     """The element tree: end tags that open nothing are passed over, void elements hold nothing."""
     root = here = Node("#root", "", None)
     at, raw = 0, ""
+    opened: Counter = Counter()  # open elements by name, so that a stray end tag climbs nowhere
+
+    def leave(to: Node) -> Node:
+        """Close open elements up to and with this one."""
+        node = here
+        while True:
+            opened[node.name] -= 1
+            if node is to:
+                return node.parent
+            node = node.parent
+
     for m in _TOKEN.finditer(markup):
         if m.start() < at:
             continue
@@ -86,21 +103,21 @@ def parse(markup: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            node = here
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if opened[name]:
+                node = here
+                while node.name != name:
+                    node = node.parent
+                here = leave(node)
             continue
         closes = CLOSES.get(name)
-        if closes:
+        if closes and any(opened[c] for c in closes):
             fence, node, end = FENCES.get(name, frozenset()), here, None
             while node is not root and node.name not in fence and (node.name in closes or node.name in INLINE or name in FENCES):
                 if node.name in closes:
                     end = node
                 node = node.parent
             if end is not None:
-                here = end.parent
+                here = leave(end)
         child = Node(name, m[3], here)
         here.children.append(child)
         if name in VOID or m[3].endswith("/") and name not in BLOCKS and name not in INLINE:
@@ -112,6 +129,7 @@ def parse(markup: str) -> Node:
             at = close.end() if close else len(markup)
             continue
         here = child
+        opened[name] += 1
     if at < len(markup):
         here.children.append(entities.unescape(markup[at:]))
     return root
@@ -123,7 +141,25 @@ def _traits(attributes: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)}
 
 
-def _is_dropped(node: Node, inside_article: bool) -> bool:
+def _wrapping_forms(root: Node) -> set[int]:
+    """The forms that hold more than half of the page's paragraph text: pages may lie in a form as a whole."""
+    whole, of, stack = 0, Counter(), [(root, ())]
+    while stack:
+        node, forms = stack.pop()
+        if node.name == "form":
+            forms = (*forms, id(node))
+        if node.name in PARAGRAPHS:
+            own = sum(len(_clean(c)) for c in node.children if isinstance(c, str))
+            whole += own
+            for f in forms:
+                of[f] += own
+        stack.extend((c, forms) for c in node.children if isinstance(c, Node) and (c.name == "form" or c.name not in DROPPED))
+    return {f for f, n in of.items() if 2 * n > whole}
+
+
+def _is_dropped(node: Node, inside_article: bool, wrapping: set[int]) -> bool:
+    if node.name == "form" and id(node) in wrapping:
+        return False
     if node.name in DROPPED:
         return not (node.name == "header" and inside_article)
     traits = _traits(node.attributes)
@@ -145,7 +181,7 @@ def _clean(text: str) -> str:
 
 def _mark(root: Node) -> list[Node]:
     """Mark dropped parts and return the other elements in page order."""
-    kept, stack = [], [(root, False)]
+    kept, stack, wrapping = [], [(root, False)], _wrapping_forms(root)
     while stack:
         node, inside = stack.pop()
         kept.append(node)
@@ -153,7 +189,7 @@ def _mark(root: Node) -> list[Node]:
         below = []
         for c in node.children:
             if isinstance(c, Node):
-                c.dropped = _is_dropped(c, inside)
+                c.dropped = _is_dropped(c, inside, wrapping)
                 if not c.dropped:
                     below.append((c, inside))
         stack.extend(reversed(below))
