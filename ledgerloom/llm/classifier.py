@@ -5,11 +5,12 @@ chunk, their outputs are max-pooled over the chunk, and one probability comes fr
 pooled outputs. The first layer is a sum of table look-ups: a byte at each of WIDTH places picks a row.
 
 The network is trained on at most TRAIN_ROWS labelled documents, half of each label where there are
-enough of both, chosen by the hash of their ids; TRAIN_CHUNKS chunks at most of each are learned from.
-Labels of held-out rows (crc32 of the id as text, modulo 3, is 1) are never read. Scoring takes whole texts.
+enough of both, chosen by the hash of their ids, as far as TRAIN_BYTES of text go; all chunks of each are learned
+from. Labels of held-out rows (crc32 of the id as text, modulo 3, is 1) are never read. Scoring takes whole texts.
 
-Defined cases: a null or empty text is one chunk of padding; without labels of both kinds every score is
-0.5; a label that is null is no label; repeated rows give a row each; empty tables give empty tables.
+Defined cases: a null or empty text is one chunk of padding; very long texts are scored whole, some chunks at a
+time; without labels of both kinds every score is 0.5; a label that is null is no label; a row with a null id has a
+score; of several labels of an id the smallest counts; repeated rows give a row each; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import bounded_batches, text_bytes
 
-#: Fixed bounds of what training reads.
-TRAIN_ROWS, TRAIN_CHUNKS = 1200, 4
+#: Fixed bounds of what training reads: labelled documents, and bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 1200, 8_000_000
 #: Bytes of a chunk, bytes that neighbouring chunks share, places under a filter, filters.
 CHUNK, OVERLAP, WIDTH, FILTERS = 512, 32, 5, 16
 #: Passes over the training chunks, step size, weight decay.
@@ -95,10 +96,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 6) -> Network:
     if len(set(labels.tolist())) < 2:
         net.weight = np.zeros(FILTERS)
         return net
-    picked = []
-    for t in texts:  # chunks spread over the whole text
-        chunks = cut(t)
-        picked.append(chunks[np.unique(np.linspace(0, len(chunks) - 1, TRAIN_CHUNKS).round().astype(int))])
+    picked = [cut(t) for t in texts]
     share = labels.mean()
     cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     params = [net.table, net.bias, net.weight]
@@ -152,7 +150,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     for label in (0, 1):  # two top-k sorts by a hash: bounded, and no window over a whole label
         part = known.where(F.col("_label") == label).orderBy(by_hash, id_col).limit(half)
         sample = part if sample is None else sample.unionByName(part)
-    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).orderBy(by_hash, id_col, text_col).limit(TRAIN_ROWS).select(text_col, "_label").collect()
+    taken = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).withColumn("_hash", by_hash)
+    lengths = taken.select("_hash", id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n")).orderBy("_hash", id_col, "n").limit(TRAIN_ROWS).collect()
+    left, chosen = TRAIN_BYTES, set()
+    for r in lengths:
+        if r["n"] <= left:
+            left -= r["n"]
+            chosen.add((r[id_col], r["n"]))
+    fits = F.struct(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n"))
+    wanted = docs.sparkSession.createDataFrame(sorted(chosen), taken.select(fits.alias("f")).schema["f"].dataType)
+    read = taken.join(F.broadcast(wanted.toDF(id_col, "_n")), [id_col]).where(F.coalesce(F.octet_length(text_col), F.lit(0)) == F.col("_n"))
+    rows = read.orderBy("_hash", id_col, text_col).limit(TRAIN_ROWS).select(text_col, "_label").collect()
     return fit([(r[0] or "").encode("utf-8", "surrogatepass") for r in rows], np.array([r[1] for r in rows], float))
 
 
