@@ -12,7 +12,9 @@ third of all rows is many blocks, and only the blocks' sums are ordered by sourc
 
 Defined cases: a null source is the source ''; null and empty texts have no tokens: such documents come in
 every full pass and in a last pass as far as it goes; without tokens at all every document comes once;
-rows that share an id are taken alike; empty tables give empty tables; ``mix`` returns the input's columns.
+rows that share an id are taken alike; a row with a null id is dealt by its text; very long texts are counted whole;
+equal draws are ordered by id, then tokens; empty tables give empty tables; ``mix`` returns the input's columns,
+whatever their names, in the order of the mix: whole blocks in a partition, by their draw, and each block's documents by theirs.
 """
 
 from __future__ import annotations
@@ -113,27 +115,33 @@ def plan(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_rep
         full, rest = divmod(budget, n) if n else (1, 0)
         rows.append((s, full, rest, max(1, -(-n // BLOCK_TOKENS))))
     budgets = spark.createDataFrame(rows, "_source string, _full bigint, _rest bigint, _blocks bigint")
-    each = counted(docs, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc"), F.col(id_col).alias("_id"))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    each = counted(docs, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc"), F.col(id_col).alias("_id"), key.alias("_key"))
     dealt = each.join(F.broadcast(budgets) if len(rows) <= 10_000 else budgets, "_source")
-    dealt = dealt.withColumn("_block", F.pmod(_draw(F.lit("block"), F.col("_id")), F.col("_blocks")))
+    dealt = dealt.withColumn("_block", F.pmod(_draw(F.lit("block"), F.col("_key")), F.col("_blocks")))
 
     full = dealt.withColumn("_pass", F.explode(F.expr("CASE WHEN _full > 0 THEN sequence(1, _full) END")))
     # the last pass: sums of blocks give where each block begins, so only its own documents are ordered in it
     blocks = dealt.groupBy("_source", "_block", "_full").agg(F.sum("_tokens").alias("_n"))
-    in_pass = W.partitionBy("_source").orderBy("_order", "_block")
     order = _draw(F.lit("order"), F.col("_source"), F.col("_block"), F.col("_full") + 1)
-    begun = blocks.withColumn("_order", order).withColumn("_before", F.sum("_n").over(in_pass) - F.col("_n")).select("_source", "_block", "_before")
+    # prefix sums in two levels: ranges of the order, then the blocks of a range, so that no task has all blocks of a source
+    ordered = blocks.withColumn("_order", order).withColumn("_range", F.shiftright("_order", 20))
+    ranges = ordered.groupBy("_source", "_range").agg(F.sum("_n").alias("_sum"))
+    ranges = ranges.withColumn("_begun", F.sum("_sum").over(W.partitionBy("_source").orderBy("_range")) - F.col("_sum"))
+    in_range = F.sum("_n").over(W.partitionBy("_source", "_range").orderBy("_order", "_block")) - F.col("_n")
+    begun = ordered.withColumn("_in", in_range).join(ranges, ["_source", "_range"]).select("_source", "_block", (F.col("_begun") + F.col("_in")).alias("_before"))
     in_block = W.partitionBy("_source", "_block").orderBy("_draw", "_id", "_tokens").rowsBetween(W.unboundedPreceding, 0)
-    last = dealt.where("_rest > 0").withColumn("_draw", _draw(F.lit("doc"), F.col("_id"), F.col("_full") + 1)).withColumn("_inside", F.sum("_tokens").over(in_block) - F.col("_tokens"))
+    last = dealt.where("_rest > 0").withColumn("_draw", _draw(F.lit("doc"), F.col("_key"), F.col("_full") + 1)).withColumn("_inside", F.sum("_tokens").over(in_block) - F.col("_tokens"))
     last = last.join(begun, ["_source", "_block"]).where("_before + _inside < _rest").withColumn("_pass", F.col("_full") + 1)
-    columns = ["doc", "_id", "_source", "_tokens", "_block", "_pass"]
+    columns = ["doc", "_key", "_source", "_tokens", "_block", "_pass"]
     taken = full.select(*columns).unionByName(last.select(*columns))
-    return taken.withColumn("_block_order", _draw(F.lit("order"), F.col("_source"), F.col("_block"), F.col("_pass"))).withColumn("_doc_order", _draw(F.lit("doc"), F.col("_id"), F.col("_pass"))).drop("_id")
+    return taken.withColumn("_block_order", _draw(F.lit("order"), F.col("_source"), F.col("_block"), F.col("_pass"))).withColumn("_doc_order", _draw(F.lit("doc"), F.col("_key"), F.col("_pass"))).drop("_key")
 
 
 def mix(docs: DataFrame, **target) -> DataFrame:
-    """The mixed documents with the input's columns; a document comes as often as its passes take it."""
-    return plan(docs, **target).select("doc.*")
+    """The mixed documents with the input's columns, in block order; a document comes as often as its passes take it."""
+    block = ["_block_order", "_source", "_block", "_pass"]
+    return plan(docs, **target).repartition(*block).sortWithinPartitions(*block, "_doc_order").select("doc.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
