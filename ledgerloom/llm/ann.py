@@ -13,7 +13,8 @@ and these few rows are ranked over all tasks.
 
 Defined cases: null, zero and non-finite vectors, and those with a null id or component, take no part;
 vectors of another length than the query's are no candidates; a repeated row counts as often as it is
-there, but a row with the query's own id never; empty tables give empty tables; other columns are ignored.
+there, but a row with the query's own id never; equal distances are ordered by id; fewer candidates than k are all
+returned; empty tables give empty tables; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,15 +50,31 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[n
     return np.packbits(unit > 0, axis=1), length, np.abs(unit).sum(axis=1) / np.sqrt(vectors.shape[1])
 
 
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
+
+
+def set_bit_sums(bits: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """Sums of the queries' components at the set bits [vectors, queries], one look-up a packed byte.
+
+    The table of a byte has the sum of each query's eight components for all 256 values; codes stay packed.
+    """
+    queries, size = turned.shape
+    padded = np.zeros((queries, 8 * bits.shape[1]), np.float32)
+    padded[:, :size] = turned
+    sums = np.zeros((len(bits), queries), np.float32)
+    for k in range(bits.shape[1]):
+        sums += (_BYTE_BITS @ padded[:, 8 * k : 8 * k + 8].T)[bits[:, k]]
+    return sums
+
+
 def bounds(bits: np.ndarray, length: np.ndarray, own: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the squared distances [vectors, queries]."""
     size = queries.shape[1]
     rest = queries - centre
     far = np.sqrt((rest * rest).sum(axis=1))
     turned = (rest @ turn.T).astype(np.float32)
-    signs = np.unpackbits(bits, axis=1, count=size).astype(np.float32)
     # codes are plus or minus one over the root of the size: twice the sum over set bits less the sum over all
-    product = (2 * (signs @ turned.T) - turned.sum(axis=1)) / np.float32(np.sqrt(size))
+    product = (2 * set_bit_sums(bits, turned) - turned.sum(axis=1)) / np.float32(np.sqrt(size))
     own = np.maximum(own, 1e-6).astype(np.float32)[:, None]
     estimate = product / own * length.astype(np.float32)[:, None]
     slack = np.sqrt(np.maximum(1 - own**2, 0)) / own * np.float32(EPSILON / np.sqrt(max(1, size - 1)))
@@ -183,7 +200,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
         if blocks > 1:
             index = Cut(index).df
         for block in range(blocks):
-            rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).limit(BLOCK + 1).toArrow()
+            rows = asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == block).limit(BLOCK + 1).toArrow()
             if rows.num_rows > BLOCK:
                 raise ValueError("a block of queries is larger than its bound")
             q = _matrix(rows["v"].combine_chunks().chunk(0) if isinstance(rows["v"].combine_chunks(), pa.ChunkedArray) else rows["v"].combine_chunks(), size) if rows.num_rows else np.empty((0, size))
