@@ -16,7 +16,8 @@ Three passes, none of which moves text between tasks:
 
 Defined cases: a null text is the empty text (it fails the base rules); a null or unknown language is
 judged as the language ''; a language without reference documents leaves the base rules' verdict;
-repeated rows give a row each; empty tables give empty tables; other columns are kept by ``keep``.
+repeated rows give a row each; null ids stay null; very long texts are counted whole; a word exactly at COMMON_SHARE
+is common, so there are no ties; empty tables give empty tables; other columns are kept by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql.functions import broadcast
 from pyspark.sql.types import StructField, StructType
 
 from ledgerloom.llm.text import bounded_batches
+from ledgerloom.session import Cut
 
 #: A word is common in a language if it is at least this share of the language's words.
 COMMON_SHARE = 0.004
@@ -44,6 +46,8 @@ MAX_WORD_DISTANCE, WORD_NOISE = 0.24, 0.6
 MIN_CHARS, MIN_WORDS = 100, 50
 #: Words of a language that a group of documents holds at least before it names its common words.
 GROUP_WORDS = 200_000
+#: Most common words of all languages together that go to the tasks, some 50 MB; 2 / COMMON_SHARE a language at most.
+MAX_NAMED = 1_000_000
 #: Most languages whose references are sent to all tasks; beyond it the join shuffles.
 BROADCAST_LANGUAGES = 2000
 
@@ -112,10 +116,10 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 20 or 100 * n_repeat_words > 30 * n_words
 
 
-def counts_for_reference(text: str) -> bool:
-    """Whether a text passes the base rules, so that its language's reference counts it."""
+def reference_words(text: str) -> list[bytes]:
+    """The words of a text that passes the base rules, so that its language's reference counts it; none of another."""
     words = text.encode("utf-8", "surrogatepass").split()
-    return len(words) >= 20 and not base_failed(len(words), repeated_window_words(words))
+    return words if len(words) >= 20 and not base_failed(len(words), repeated_window_words(words)) else []
 
 
 def base_features(text: str) -> dict:
@@ -163,13 +167,13 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(lang: str) -> pa.RecordBatch:
         total = totals.pop(lang)
         half = COMMON_SHARE / 2 * total
-        gains = {w: n - half for w, n in counts.pop(lang).items() if n >= half} | {"": float(total)}
+        gains = {w.decode("utf-8", "replace"): n - half for w, n in counts.pop(lang).items() if n >= half} | {"": float(total)}
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(gains), pa.string()), pa.array(gains.keys(), pa.string()), pa.array(gains.values(), pa.float64())], ["lang", "word", "gain"])
 
     for lang, text in _rows(batches):
-        if not counts_for_reference(text):
+        words = reference_words(text)
+        if not words:
             continue
-        words = text.split()
         counts.setdefault(lang, Counter()).update(words)
         totals[lang] += len(words)
         if totals[lang] >= GROUP_WORDS:
@@ -178,20 +182,19 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(lang)
 
 
-def _counted(words_of: dict[str, set[str]]):
+def _counted(words_of: dict[str, set[bytes]]):
     """Pass 2: exact counts of the named words, and the class counts, of the documents that pass the base rules."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
         classes: dict[str, np.ndarray] = {}
         for lang, text in _rows(batches):
-            if not counts_for_reference(text):
+            got = reference_words(text)
+            if not got:
                 continue
-            got = text.split()
             mine = words.setdefault(lang, Counter())
             named = words_of.get(lang, ())
-            hits = Counter(w for w in got if w in named)
-            mine.update(hits)
+            mine.update(w.decode("utf-8", "replace") for w in got if w in named)
             mine[""] += len(got)
             classes[lang] = classes.get(lang, 0) + class_counts(text)
         rows = [(lang, "w", w, n) for lang, c in words.items() for w, n in c.items()]
@@ -207,13 +210,16 @@ def references(docs: DataFrame) -> DataFrame:
     """One row a language: its class counts, its common words with their counts, and its number of words."""
     bounded_batches(docs.sparkSession)
     texts = docs.select("lang", "text")
-    gains = texts.mapInArrow(_named, "lang string, word string, gain double").groupBy("lang", "word").agg(F.sum("gain").alias("gain"))
+    gains = Cut(texts.mapInArrow(_named, "lang string, word string, gain double").groupBy("lang", "word").agg(F.sum("gain").alias("gain"))).df
     totals = gains.where("word = ''").select("lang", F.col("gain").alias("total"))
     # collected: at most 2 / COMMON_SHARE words a language, by the argument above (a thousandth is left for rounding)
     named = gains.where("word != ''").join(totals, "lang").where(F.col("gain") >= 0.999 * COMMON_SHARE / 2 * F.col("total"))
-    words_of: dict[str, set[str]] = {}
-    for lang, word in named.select("lang", "word").collect():
-        words_of.setdefault(lang, set()).add(word)
+    words_of: dict[str, set[bytes]] = {}
+    found = named.select("lang", "word").limit(MAX_NAMED + 1).collect()
+    if len(found) > MAX_NAMED:
+        raise ValueError(f"more than {MAX_NAMED} common words in all languages together: map rare language codes to one first")
+    for lang, word in found:
+        words_of.setdefault(lang, set()).add(word.encode("utf-8", "surrogatepass"))
     counted = texts.mapInArrow(_counted(words_of), "lang string, kind string, name string, n bigint")
     summed = counted.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
     total = F.max(F.when((F.col("kind") == "w") & (F.col("name") == ""), F.col("n")))
@@ -230,7 +236,7 @@ def _judge(text: str, classes: dict[str, int] | None, words: dict[str, int] | No
         if own.sum() >= MIN_CHARS:
             row["class_distance"] = jensen_shannon(own, np.array([classes.get(c, 0) for c in CLASSES], float))
     if words and row["n_words"] >= MIN_WORDS:
-        hits = Counter(w for w in text.split() if w in words)
+        hits = Counter(w for w in (x.decode("utf-8", "replace") for x in text.encode("utf-8", "surrogatepass").split()) if w in words)
         own = np.array([*(hits[w] for w in words), row["n_words"] - sum(hits.values())], float)
         row["word_distance"] = jensen_shannon(own, np.array([*words.values(), n_ref - sum(words.values())], float))
     far = (row["class_distance"] or 0) > MAX_CLASS_DISTANCE + CLASS_NOISE / max(1, len(text)) ** 0.5
@@ -261,7 +267,7 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judged(docs: DataFrame, carried: list[str]) -> DataFrame:
     """(doc, verdict): the carried columns as one struct, so that their names clash with nothing, and the verdict."""
-    refs = references(docs).select(F.col("lang").alias("_lang"), "classes", "words", "n_words")
+    refs = Cut(references(docs).select(F.col("lang").alias("_lang"), "classes", "words", "n_words")).df
     few = refs.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_doc"), F.col("text").alias("_text"), F.coalesce(F.col("lang"), F.lit("")).alias("_of"))
     joined = left.join(broadcast(refs) if few else refs, F.col("_of") == F.col("_lang"), "left")
