@@ -9,17 +9,20 @@
 3. Candidates whose sketches are too far apart for the threshold (by SKETCH_SIGMAS standard deviations) go.
 4. The rest are confirmed on the full sets of both texts: first each class with its nearest smaller-id
    candidate; then, among the other candidates, all that still lie in different components.
-5. Then all classes that share ``least`` values in a tree and still lie in different components are paired and
-   confirmed in the same way, so that a dense region hides no pair. A crowd just below the threshold has no
-   links and costs pairs with the square of its size.
+5. Then the regions of the forest: all classes that share ``least`` values in a tree. A region of more than CROWD
+   classes is deepened, value by value, until its parts are smaller or share all DEPTH values. Inside a region all
+   classes that still lie in different components are paired and confirmed in the same way, so that a dense region
+   hides no pair. A crowd just below the threshold has no links and costs pairs with the square of its size.
 6. Links make components (see components.py); a class passes its component on to its members.
 
-Chance of missing a link at exactly the threshold 0.8, from one pair alone: below 0.3 percent for up to
-4 * 10**9 classes (0.8 ** least in each of TREES trees; 0.05 percent up to 2 * 10**8), in a crowd as alone, and less where other links connect its component.
+Chance of missing a link at exactly the threshold 0.8, by (1 - 0.8 ** depth) ** TREES: below 0.01 percent at depths
+up to 6, 0.05 percent at 7 and 0.28 percent at 8, the depth of more than 2.7 * 10**8 classes and of the densest
+regions; a little more since every value serves two trees, and less where other links connect its component.
 
 Defined cases: documents without words or with a null text have no shingles and link with nothing;
-a null id links with nothing and has a null component; rows that share an id are linked together;
-empty tables give empty tables; other columns are kept by ``keep_first``.
+a null id links with nothing and has a null component; rows that share an id are linked together; very long
+texts are hashed whole, some shingles at a time; equal distances are ordered by id; empty tables give empty tables;
+other columns are kept by ``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.text import binary_rows, bounded_batches, mix, text_bytes, word_hashes
-from ledgerloom.session import Cut
+from ledgerloom.session import Cut, cut
 
 #: The signature: VALUES values of 16 bits; the forest: TREES orders of DEPTH of them.
 VALUES, TREES, DEPTH = 128, 32, 8
@@ -42,6 +45,10 @@ VALUES, TREES, DEPTH = 128, 32, 8
 REACH = 2
 #: Rows of a group that one row's side of the pairing meets at once.
 PAIRED_ROWS = 500
+#: Classes of a region beyond which it is deepened, and rows of a class beyond which its leader goes to all tasks.
+CROWD, HOT_ROWS = 2000, 1000
+#: Most leaders that go to all tasks: some 10 MB. Beyond it their rows are joined as all others.
+HOT_CLASSES = 100_000
 #: Standard deviations by which a sketch may miss the threshold before a candidate goes unconfirmed.
 SKETCH_SIGMAS = 4.5
 
@@ -161,16 +168,33 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(size, percent), "a bigint, b bigint").distinct()
 
 
+def _regions(forest: DataFrame, of: DataFrame, least: int) -> DataFrame:
+    """The rows of regions that hold more than one component: key, n (its classes), id, sketch, of (the component).
+
+    Regions share ``least`` values of a tree; those of more than CROWD classes are deepened until they are smaller or
+    share DEPTH values.
+    """
+    rows = forest.join(of, "id", "left").select("tree", "prefix", "id", "bits_a", "bits_b", F.coalesce("component", "id").alias("of"))
+    settled = None
+    for depth in range(least, DEPTH + 1):
+        keyed = rows.withColumn("key", F.expr(f"xxhash64(tree, {depth}, substring(prefix, 1, {2 * depth}))"))
+        mixed = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("key", "n")
+        held = cut(keyed.join(mixed, "key"))
+        done = held if depth == DEPTH else held.where(f"n <= {CROWD}")
+        settled = done if settled is None else settled.unionByName(done)
+        rows = held.where(f"n > {CROWD}").select("tree", "prefix", "id", "bits_a", "bits_b", "of")
+        if depth == DEPTH or rows.isEmpty():
+            break
+    return settled.select("key", "n", "id", "bits_a", "bits_b", "of")
+
+
 def _inside(forest: DataFrame, of: DataFrame, least: int, most_bits: int) -> DataFrame:
-    """All pairs (a, b) of classes that share ``least`` values in a tree, lie in different components and have near sketches.
+    """All pairs (a, b) of classes of a region that lie in different components and have near sketches.
 
-    A group of one component makes no pairs; the rows of the others meet in squares of PAIRED_ROWS, so that a
-    large group is many tasks' work.
+    A region of one component makes no pairs; the rows of the others meet in squares of PAIRED_ROWS, so that a
+    large region is many tasks' work.
     """
-    keyed = forest.select(F.expr(f"xxhash64(tree, substring(prefix, 1, {2 * least}))").alias("key"), "id", "bits_a", "bits_b")
-    keyed = keyed.join(of, "id", "left").select("key", "id", "bits_a", "bits_b", F.coalesce("component", "id").alias("of"))
-    mixed = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where(f"low < high AND n > {REACH + 1}")
-    sized = Cut(keyed.join(mixed.select("key", F.expr(f"cast(ceil(n / {PAIRED_ROWS}) AS int)").alias("squares")), "key")).df
+    sized = _regions(forest, of, least).withColumn("squares", F.expr(f"cast(ceil(n / {PAIRED_ROWS}) AS int)"))
     side = lambda s, square: sized.select("key", square.alias("square"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "bits_a", "bits_b", "of")])
     left, right = side("x", F.expr("cast(pmod(xxhash64(id), squares) AS int)")), side("y", F.explode(F.expr("sequence(0, squares - 1)")))
     near = F.expr(f"id_x < id_y AND of_x != of_y AND bit_count(bits_a_x ^ bits_a_y) + bit_count(bits_b_x ^ bits_b_y) <= {most_bits}")
@@ -186,7 +210,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = Cut(texts.mapInArrow(_signatures(shingle_words), "id bigint, n_shingles bigint, set_a bigint, set_b bigint, bits_a bigint, bits_b bigint, signature binary")).df
     members = signed.select("id", "n_shingles", "set_a", "set_b")
-    leaders = members.where("n_shingles > 0 AND id IS NOT NULL").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("id"))
+    leaders = members.where("n_shingles > 0 AND id IS NOT NULL").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("id"), F.count("*").alias("n_rows"))
     classes = signed.join(leaders, ["n_shingles", "set_a", "set_b", "id"], "left_semi").select("id", "bits_a", "bits_b", "signature")
 
     many = leaders.count()
@@ -211,8 +235,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     hidden = Cut(_inside(forest, joined, least, most_bits).join(candidates.select("a", "b"), ["a", "b"], "left_anti")).df
     components = connected_components(linked.unionByName(_confirm(hidden, texts, shingle_words, percent)))
 
-    leader = leaders.withColumnRenamed("id", "leader")
-    found = members.join(leader, ["n_shingles", "set_a", "set_b"], "left").join(components.withColumnRenamed("id", "leader"), "leader", "left")
+    # a class has one row here, so no key is hot; the rows of large classes meet their leader without a shuffle
+    named = cut(leaders.join(components, "id", "left").select("n_shingles", "set_a", "set_b", F.col("id").alias("leader"), "component", "n_rows"))
+    of_class = ["n_shingles", "set_a", "set_b"]
+    hot = named.where(f"n_rows > {HOT_ROWS}").drop("n_rows")
+    if hot.limit(HOT_CLASSES + 1).count() <= HOT_CLASSES:
+        rest = members.join(F.broadcast(hot), of_class, "left_anti").join(named.where(f"n_rows <= {HOT_ROWS}").drop("n_rows"), of_class, "left")
+        found = members.join(F.broadcast(hot), of_class).unionByName(rest)
+    else:
+        found = members.join(named.drop("n_rows"), of_class, "left")
     alone = F.col("id").isNull() | (F.col("n_shingles") == 0)
     component = F.when(alone, F.col("id")).otherwise(F.coalesce("component", "leader"))
     kept = F.coalesce(F.col("id") == component, F.lit(True))
