@@ -13,11 +13,9 @@ _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 def ist_datetime(text: Column) -> Column:
     """dd-MMM-yyyy hh:mm AM/PM in India, as an instant; calendar-checked."""
-    p = r"^\s*([0-9]{1,2})-([A-Z]{3})-([0-9]{4}) (0?[1-9]|1[0-2]):([0-5][0-9]) ([AP])M\s*$"
-    day, month, year, hour, minute, half = (F.regexp_extract(F.upper(text), p, i) for i in range(1, 7))
-    hours = twenty_four_hour(hour.try_cast("int"), half == "P").cast("string")
-    wall = F.concat_ws(" ", F.concat_ws("-", year, month_number(month).cast("string"), day), F.concat_ws(":", hours, minute))
-    return F.to_utc_timestamp(F.try_to_timestamp(wall, F.lit("yyyy-M-d H:mm")), ZONE)
+    p = r"^\s*[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4} (0?[1-9]|1[0-2]):[0-5][0-9] [APap][Mm]\s*$"
+    wall = F.when(text.rlike(p), F.try_to_timestamp(F.trim(text), F.lit("d-MMM-yyyy h:mm a")))
+    return F.to_utc_timestamp(wall, ZONE)
 
 
 def month_number(name: Column, fallback: int | None = None) -> Column:
@@ -43,11 +41,13 @@ def printed_month_date(text: Column) -> Column:
 
 def day_first_date(text: Column) -> Column:
     """struct(date, ambiguous): 05/09/2026 read day first; ambiguous if the day could be a month."""
-    p = r"^\s*([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4})\s*$"
-    day, month, year = (F.regexp_extract(text, p, i) for i in (1, 2, 3))
-    date = _date(year, month, day)
-    d, m = day.try_cast("int"), month.try_cast("int")
-    return F.struct(date.alias("date"), F.when(date.isNotNull(), (d <= 12) & (d != m)).alias("ambiguous"))
+    plain = F.translate(F.regexp_replace(text, r"^\s+|\s+$", ""), "./", "--")
+    read = F.when(plain.rlike("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"), F.try_to_timestamp(plain, F.lit("d-M-yyyy")).cast("date"))
+
+    def judged(date: Column) -> Column:
+        return F.struct(date.alias("date"), F.when(date.isNotNull(), (F.dayofmonth(date) <= 12) & (F.dayofmonth(date) != F.month(date))).alias("ambiguous"))
+
+    return F.element_at(F.transform(F.array(read), judged), 1)
 
 
 def marathi_hour(period: Column, hour: Column) -> Column:

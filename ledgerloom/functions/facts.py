@@ -12,8 +12,16 @@ CONTRACTOR = r"\bM/s\.?\s+([A-Z][^,.;()]{2,70}?)(?=\s*[,.;()]|\s+(?:for|was|had|
 OFFICER = r"\b((?:Executive|Superintending|Deputy|Chief|Junior|Sectional|Assistant)\s+Engineer|Collector|Secretary)\b(?:\s*,?\s*([A-Z][A-Za-z\s]{2,44}?))?(?=\s*[,.;()]|\s+(?:requested|stated|had|was|issued)\b|$)"
 DEPARTMENT = r"((?:[A-Z][\w’'&-]*[,]?\s+(?:(?:and|&)\s+)?)+)Department\b"
 GOVERNMENT = r"\bGovernment\s+of\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"
-NOT_A_NAME = ("a", "all", "an", "and", "any", "as", "at", "by", "each", "every", "for", "from", "further", "government", "however", "if", "in", "its", "of", "on", "other", "said", "state", "such", "that", "the", "their", "these", "this", "to", "under", "when", "while", "with")
-RESTARTS = ("accordingly", "act", "additional", "amount", "assistant", "chief", "commissioner", "deputy", "director", "engineer", "executive", "funds", "minister", "officer", "principal", "report", "secretary", "total")
+NOT_A_NAME = (
+    "a", "according", "administrative", "after", "all", "also", "an", "and", "any", "as", "at", "audit", "but", "by", "concerned", "during", "each", "every",
+    "for", "from", "further", "government", "however", "if", "implementing", "in", "its", "line", "nodal", "of", "on", "other", "respective", "said", "state",
+    "such", "that", "the", "their", "these", "this", "to", "under", "when", "while", "with",
+)
+RESTARTS = (
+    "accordingly", "act", "additional", "amount", "assistant", "chief", "commissioner", "department", "departmental", "deputy", "director", "engineer",
+    "executive", "funds", "general", "gom", "guidelines", "hon’ble", "hon'ble", "introduction", "joint", "level", "maharashtra", "minister", "observations",
+    "officer", "principal", "report", "rule", "sample", "secretary", "similarly", "total", "under",
+)
 JOINERS = ("of", "&")
 
 

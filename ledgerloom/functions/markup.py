@@ -9,14 +9,16 @@ from ledgerloom.functions import money
 
 
 def decode_entities(text: Column) -> Column:
-    """The listed named references and numeric ones of the first plane; the ampersand last."""
+    """The listed named references and numeric ones; what is no character stays as it is; the ampersand last."""
     out, untouched = text, ~F.contains(text, F.lit("&"))
     for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         out = F.replace(out, F.lit(name), F.lit(value))
-    codes = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#([0-9]{1,5});"), F.lit(1)))
-    out = F.aggregate(codes, out, lambda s, c: F.replace(s, F.concat(F.lit("&#"), c, F.lit(";")), F.when(c.cast("int") < 256, F.char(c.cast("bigint"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(c.cast("bigint")), 4, "0")), "UTF-16BE"))))
-    hexes = F.array_distinct(F.regexp_extract_all(out, F.lit(r"(?i)&#x([0-9a-f]{1,4});"), F.lit(1)))
-    out = F.aggregate(hexes, out, lambda s, c: F.regexp_replace(s, F.concat(F.lit("(?i)&#x"), c, F.lit(";")), F.decode(F.unhex(F.lpad(c, 4, "0")), "UTF-16BE")))
+    # a code point is its four bytes in UTF-32; surrogates and numbers beyond the last plane are no characters
+    character = lambda n: F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    codes = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
+    out = F.aggregate(codes, out, lambda s, c: F.coalesce(F.replace(s, F.concat(F.lit("&#"), c, F.lit(";")), character(c.cast("bigint"))), s))
+    hexes = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#([xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+    out = F.aggregate(hexes, out, lambda s, c: F.coalesce(F.replace(s, F.concat(F.lit("&#"), c, F.lit(";")), character(F.conv(F.substring(c, 2, 6), 16, 10).cast("bigint"))), s))
     return F.when(untouched, text).otherwise(F.replace(out, F.lit("&amp;"), F.lit("&")))
 
 

@@ -27,18 +27,19 @@ _MOST_DIGITS = 38
 def shifted_to_paise(raw: Column, shift: Column | int) -> Column:
     """struct(paise, refusal): the figure times ten to the shift, exact; commas are grouping."""
     shift = F.lit(shift) if isinstance(shift, int) else shift
-    text = F.replace(F.trim(raw), F.lit(","), F.lit(""))
-    sign, whole, fraction = (F.regexp_extract(text, r"^(-?)([0-9]+)(?:\.([0-9]+))?$", i) for i in (1, 2, 3))
-    absent = raw.isNull() | F.upper(text).isin(*{a.upper() for a in ABSENT})
-    digits = F.concat(whole, F.rpad(fraction, shift, "0"))
-    refusal = (
-        F.when(absent, None)
-        .when(whole == "", "not an amount")
-        .when(F.length(fraction) > shift, "sub-paise precision")
-        .when(F.length(F.ltrim(digits, F.lit("0"))) > _MOST_DIGITS, "too many digits")
-    )
-    paise = F.when(~absent & refusal.isNull(), F.concat(sign, digits).try_cast(PAISE))
-    return F.struct(paise.alias("paise"), refusal.alias("refusal"))
+
+    def read(p: Column) -> Column:
+        """p: text, and whether it is a figure; a bound name, so that the text is made and matched once."""
+        text, absent = p["text"], p["text"].isNull() | F.upper(p["text"]).isin(*{a.upper() for a in ABSENT})
+        fraction = F.when(F.contains(text, F.lit(".")), F.substring_index(text, ".", -1)).otherwise("")
+        digits = F.concat(F.substring_index(text, ".", 1), F.rpad(fraction, shift, "0"))
+        fine, long = F.length(fraction) <= shift, F.length(F.ltrim(F.ltrim(digits, F.lit("-")), F.lit("0"))) > _MOST_DIGITS
+        refusal = F.when(absent, None).when(~p["figure"], "not an amount").when(~fine, "sub-paise precision").when(long, "too many digits")
+        paise = F.when(~absent & p["figure"] & fine & ~long, digits.try_cast(PAISE))
+        return F.struct(paise.alias("paise"), refusal.alias("refusal"))
+
+    plain = F.transform(F.array(F.replace(F.trim(raw), F.lit(","), F.lit(""))), lambda t: F.struct(t.alias("text"), t.rlike(r"^-?[0-9]+(\.[0-9]+)?$").alias("figure")))
+    return F.element_at(F.transform(plain, read), 1)
 
 
 def published_to_paise(raw: Column, unit: str) -> Column:

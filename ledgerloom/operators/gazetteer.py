@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 
-# How a place is written as a fact, its trust, the shortest name and the longest run of words.
+# How a place is written as a fact, its trust, and the shortest name.
 SUFFIX = {"district": "district", "sub_district": "taluka"}
 TRUST = {"district": 0.8, "sub_district": 0.7}
-SHORTEST, LONGEST_RUN = 4, 4
+SHORTEST = 4
 
 
 def unambiguous(entries: DataFrame) -> DataFrame:
@@ -43,7 +43,9 @@ def places_in(pages: DataFrame, gazetteer: DataFrame, id_col: str = "id", text_c
     parts = pages.select(F.col(id_col).alias("id"), F.posexplode(text.sentences(F.col(text_col))).alias("sentence", "_s"))
     words = parts.select("id", "sentence", F.transform(F.split("_s", " "), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("_w"))
     starts = F.transform("_w", lambda w, i: i)
-    runs = F.flatten(F.transform(F.lit(list(range(1, LONGEST_RUN + 1))), lambda n: F.transform(F.filter(starts, lambda i: i + n <= F.size("_w")), lambda i: F.struct(F.array_join(F.slice("_w", i + 1, n), " ").alias("run"), i.alias("at"), (i + n).alias("end")))))
+    # a page's runs are as long as the names are: only lengths that occur are built
+    lengths = sorted(r[0] for r in gazetteer.select(F.size(F.split("name", " "))).distinct().collect()) or [1]
+    runs = F.flatten(F.transform(F.lit(lengths), lambda n: F.transform(F.filter(starts, lambda i: i + n <= F.size("_w")), lambda i: F.struct(F.array_join(F.slice("_w", i + 1, n), " ").alias("run"), i.alias("at"), (i + n).alias("end")))))
     each = words.select("id", "sentence", F.explode(runs).alias("r")).select("id", "sentence", "r.run", "r.at", "r.end").where("run != ''")
     names = gazetteer.select("name", "level", F.explode(F.array_distinct(F.array(F.col("name"), F.upper("name")))).alias("run"))
     hits = each.join(names, "run").groupBy("id", "sentence").agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("size"), "at", "end", "name", "level"))).alias("h"))

@@ -75,9 +75,10 @@ def refresh_plan(source: DataFrame, target: DataFrame, identity: list[str], carr
 def versions(readings: DataFrame, key: list[str], order: str, tracked: list[str], moment: Column | None = None) -> DataFrame:
     """Superseded readings: each reading that the next one of its key changes, with when it was superseded.
 
-    Times are compared as given in ``tracked``; truncate them first where small differences are no change.
+    Times are compared as given in ``tracked``; truncate them first where small differences are no change. Readings of
+    the same time come in the order of their tracked values, so that the history is the same at every run.
     """
-    w = W.partitionBy(*key).orderBy(moment if moment is not None else F.col(order), order)
+    w = W.partitionBy(*key).orderBy(moment if moment is not None else F.col(order), order, *tracked)
     nxt = F.lead(F.struct(*tracked)).over(w)
     rows = readings.withColumn("_next", nxt).withColumn("superseded_at", F.lead(order).over(w))
     return rows.where(F.col("_next").isNotNull() & ~F.col("_next").eqNullSafe(F.struct(*tracked))).drop("_next")

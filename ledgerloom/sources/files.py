@@ -55,7 +55,14 @@ def from_json_rows(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select(F.from_json("record", schema).alias("r")).select("r.*")
 
 
+#: Counters of one page of metrics.
+MOST_COUNTERS = 10_000
+
+
 def metrics_text(rows: DataFrame) -> str:
-    """Counters (name, value) in exposition format, sorted by name; for tables of some hundred counters."""
-    lines = [f"{r['name']} {r['value']}" for r in rows.orderBy("name").limit(10_000).collect()]
+    """Counters (name, value) in exposition format, sorted by name; more than MOST_COUNTERS are refused, as one page can't hold them."""
+    found = rows.orderBy("name").limit(MOST_COUNTERS + 1).collect()
+    if len(found) > MOST_COUNTERS:
+        raise ValueError(f"more than {MOST_COUNTERS} counters")
+    lines = [f"{r['name']} {r['value']}" for r in found]
     return "\n".join(lines) + "\n"
