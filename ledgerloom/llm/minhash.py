@@ -10,9 +10,9 @@
 4. The rest are confirmed on the full sets of both texts: first each class with its nearest smaller-id
    candidate; then, among the other candidates, all that still lie in different components.
 5. Then the regions of the forest: all classes that share ``least`` values in a tree. A region of more than CROWD
-   classes is deepened, value by value, until its parts are smaller or share all DEPTH values. Inside a region all
-   classes that still lie in different components are paired and confirmed in the same way, so that a dense region
-   hides no pair. A crowd just below the threshold has no links and costs pairs with the square of its size.
+   classes is deepened, value by value, until its parts are smaller or share all DEPTH values. First every class is
+   compared with its region's hub, the class of most links. Then all classes of a region that still lie in different
+   components are paired and confirmed in the same way, so that a dense region hides no pair. A crowd just below the threshold has no links and costs pairs with the square of its size.
 6. Links make components (see components.py); a class passes its component on to its members.
 
 Chance of missing a link at exactly the threshold 0.8, by (1 - 0.8 ** depth) ** TREES: below 0.01 percent at depths
@@ -202,6 +202,17 @@ def _inside(forest: DataFrame, of: DataFrame, least: int, most_bits: int) -> Dat
     return met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
 
 
+def _hubs(regions: DataFrame, links: DataFrame, most_bits: int) -> DataFrame:
+    """Pairs (a, b) of every class of a region with the region's hub, the class of most links, where components differ and sketches are near.
+
+    Copies of one original are often alike with it and not with each other: a pair a class links them.
+    """
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    hub = regions.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "bits_a", "bits_b", "of"), F.struct("links", -F.col("id"))).alias("hub"))
+    near = F.expr(f"of != hub.of AND bit_count(bits_a ^ hub.bits_a) + bit_count(bits_b ^ hub.bits_b) <= {most_bits}")
+    return regions.join(hub, "key").where(near).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component_id (smallest id reachable by links) and kept (it leads its component)."""
     spark = docs.sparkSession
@@ -232,6 +243,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     second = _confirm(apart, texts, shingle_words, percent)
     linked = Cut(first.unionByName(second)).df
     joined = Cut(connected_components(linked)).df
+    hubs = Cut(_hubs(_regions(forest, joined, least), linked, most_bits).join(candidates.select("a", "b"), ["a", "b"], "left_anti")).df
+    linked = Cut(linked.unionByName(_confirm(hubs, texts, shingle_words, percent))).df
+    joined = Cut(connected_components(linked)).df
     hidden = Cut(_inside(forest, joined, least, most_bits).join(candidates.select("a", "b"), ["a", "b"], "left_anti")).df
     components = connected_components(linked.unionByName(_confirm(hidden, texts, shingle_words, percent)))
 
