@@ -12,7 +12,10 @@
 5. Then the regions of the forest: all classes that share ``least`` values in a tree. A region of more than CROWD
    classes is deepened, value by value, until its parts are smaller or share all DEPTH values. First every class is
    compared with its region's hub, the class of most links. Then all classes of a region that still lie in different
-   components are paired and confirmed in the same way, so that a dense region hides no pair. A crowd just below the threshold has no links and costs pairs with the square of its size.
+   components and whose sizes and sketches allow a link are paired, so that a dense region hides no pair. These pairs are
+   confirmed in squares: a task gets the texts of two squares of a region once, makes each one's set once and counts the
+   pairs' common shingles, so texts don't move once a pair. A crowd just below the threshold has no links and costs pairs
+   with the square of its size.
 6. Links make components (see components.py); a class passes its component on to its members.
 
 Chance of missing a link at exactly the threshold 0.8, by (1 - 0.8 ** depth) ** TREES: below 0.01 percent at depths
@@ -43,8 +46,8 @@ from ledgerloom.session import Cut, cut
 VALUES, TREES, DEPTH = 128, 32, 8
 #: Neighbours on one side that a row is first compared with in each tree; what these links leave apart is then paired whole.
 REACH = 2
-#: Rows of a group that one row's side of the pairing meets at once.
-PAIRED_ROWS = 500
+#: Classes of a region, and shingles of their texts, on each side of a square; one longer text is a square's whole side.
+PAIRED_ROWS, PAIRED_SHINGLES = 200, 400_000
 #: Classes of a region beyond which it is deepened, and rows of a class beyond which its leader goes to all tasks.
 CROWD, HOT_ROWS = 2000, 1000
 #: Most leaders that go to all tasks: some 10 MB. Beyond it their rows are joined as all others.
@@ -108,7 +111,7 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u2").reshape(n, VALUES)
         keys = np.ascontiguousarray(values[:, _ORDERS.ravel()]).reshape(n * TREES, DEPTH)
         repeat = lambda i: pa.array(np.repeat(batch.column(i).to_numpy(), TREES))
-        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), binary_rows(keys), repeat(0), repeat(1), repeat(2)], ["tree", "prefix", "id", "bits_a", "bits_b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), binary_rows(keys), repeat(0), repeat(1), repeat(2), repeat(4)], ["tree", "prefix", "id", "bits_a", "bits_b", "size"])
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -168,48 +171,96 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(size, percent), "a bigint, b bigint").distinct()
 
 
+def _confirmed_square(size: int, percent: int):
+    """Pairs of one square whose sets really are alike. texts: the square's ids and texts, each one once; an id may have several."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets = shingle_sets(text_bytes(texts["text"].combine_chunks()), size)
+        ends = np.cumsum([len(s) for s in sets])
+        shingles, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        coded, of = np.split(codes, ends[:-1]), {}
+        for i, key in enumerate(texts["id"].to_pylist()):
+            of.setdefault(key, []).append(i)
+        held, last, ok = [], None, []
+        pairs = pairs.sort_by("a")
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            if a != last:
+                held, last = [], a
+                for x in of[a]:
+                    holds = np.zeros(len(shingles), bool)
+                    holds[coded[x]] = True
+                    held.append((holds, len(coded[x])))
+            alike = False
+            for y in of[b]:
+                for holds, n in held:
+                    both = int(np.count_nonzero(holds[coded[y]]))
+                    alike = alike or (both > 0 and 100 * both >= percent * (n + len(coded[y]) - both))
+            ok.append(alike)
+        return pairs.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def _confirm_squares(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``_inside`` whose texts' sets are alike; each square is a group with its texts."""
+    square = ["key", "square_x", "square_y"]
+    within = [F.col(c).alias(f"{c}_t") for c in square]
+    wanted = pairs.select(*within, F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("key_t", "square_x_t", "square_y_t", "id", "text")
+    return pairs.groupBy(*square).cogroup(wanted.groupBy("key_t", "square_x_t", "square_y_t")).applyInArrow(_confirmed_square(size, percent), "a bigint, b bigint")
+
+
+def _near(x: str, y: str, most_bits: int, percent: int) -> str:
+    """Whether the sizes (exactly) and the sketches of two classes allow a link, in SQL."""
+    far = " + ".join(f"bit_count({x.format(bits)} ^ {y.format(bits)})" for bits in ("bits_a", "bits_b"))
+    sizes = f"{x.format('size')}, {y.format('size')}"
+    return f"100 * least({sizes}) >= {percent} * greatest({sizes}) AND {far} <= {most_bits}"
+
+
 def _regions(forest: DataFrame, of: DataFrame, least: int) -> DataFrame:
-    """The rows of regions that hold more than one component: key, n (its classes), id, sketch, of (the component).
+    """The rows of regions that hold more than one component: key, n (its classes), shingles (of all), id, sketch, size, of (the component).
 
     Regions share ``least`` values of a tree; those of more than CROWD classes are deepened until they are smaller or
     share DEPTH values.
     """
-    rows = forest.join(of, "id", "left").select("tree", "prefix", "id", "bits_a", "bits_b", F.coalesce("component", "id").alias("of"))
+    sketch = ["bits_a", "bits_b", "size"]
+    rows = forest.join(of, "id", "left").select("tree", "prefix", "id", *sketch, F.coalesce("component", "id").alias("of"))
     settled = None
     for depth in range(least, DEPTH + 1):
         keyed = rows.withColumn("key", F.expr(f"xxhash64(tree, {depth}, substring(prefix, 1, {2 * depth}))"))
-        mixed = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("key", "n")
-        held = cut(keyed.join(mixed, "key"))
+        totals = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("of").alias("low"), F.max("of").alias("high"))
+        held = cut(keyed.join(totals.where("low < high").select("key", "n", "shingles"), "key"))
         done = held if depth == DEPTH else held.where(f"n <= {CROWD}")
         settled = done if settled is None else settled.unionByName(done)
-        rows = held.where(f"n > {CROWD}").select("tree", "prefix", "id", "bits_a", "bits_b", "of")
+        rows = held.where(f"n > {CROWD}").select("tree", "prefix", "id", *sketch, "of")
         if depth == DEPTH or rows.isEmpty():
             break
-    return settled.select("key", "n", "id", "bits_a", "bits_b", "of")
+    return settled.select("key", "n", "shingles", "id", *sketch, "of")
 
 
-def _inside(forest: DataFrame, of: DataFrame, least: int, most_bits: int) -> DataFrame:
-    """All pairs (a, b) of classes of a region that lie in different components and have near sketches.
+def _inside(forest: DataFrame, of: DataFrame, least: int, most_bits: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of classes of a region that lie in different components and may be alike, each in one square.
 
-    A region of one component makes no pairs; the rows of the others meet in squares of PAIRED_ROWS, so that a
-    large region is many tasks' work.
+    A region of one component makes no pairs; the rows of the others meet in squares, so that a large region is many
+    tasks' work.
     """
-    sized = _regions(forest, of, least).withColumn("squares", F.expr(f"cast(ceil(n / {PAIRED_ROWS}) AS int)"))
-    side = lambda s, square: sized.select("key", square.alias("square"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "bits_a", "bits_b", "of")])
-    left, right = side("x", F.expr("cast(pmod(xxhash64(id), squares) AS int)")), side("y", F.explode(F.expr("sequence(0, squares - 1)")))
-    near = F.expr(f"id_x < id_y AND of_x != of_y AND bit_count(bits_a_x ^ bits_a_y) + bit_count(bits_b_x ^ bits_b_y) <= {most_bits}")
-    met = left.join(right, (left["key"] == right["key"]) & (left["square"] == right["square"]) & near)
-    return met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+    sides = f"cast(greatest(ceil(n / {PAIRED_ROWS}), ceil(shingles / {PAIRED_SHINGLES})) AS int)"
+    sized = _regions(forest, of, least).withColumn("sides", F.expr(sides)).withColumn("own", F.expr("cast(pmod(xxhash64(id), sides) AS int)"))
+    names = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", "bits_a", "bits_b", "size", "of")]
+    left = sized.select("key", F.col("own").alias("square_x"), *names("x"))
+    right = sized.select("key", F.explode(F.expr("sequence(0, sides - 1)")).alias("square_x"), F.col("own").alias("square_y"), *names("y"))
+    met = left.join(right, ["key", "square_x"]).where(f"id_x < id_y AND of_x != of_y AND {_near('{}_x', '{}_y', most_bits, percent)}")
+    each = met.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b")).agg(F.min(F.struct("key", "square_x", "square_y")).alias("at"))
+    return each.select("a", "b", "at.*")
 
 
-def _hubs(regions: DataFrame, links: DataFrame, most_bits: int) -> DataFrame:
-    """Pairs (a, b) of every class of a region with the region's hub, the class of most links, where components differ and sketches are near.
+def _hubs(regions: DataFrame, links: DataFrame, most_bits: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of every class of a region with the region's hub, the class of most links, where components differ and a link may be.
 
     Copies of one original are often alike with it and not with each other: a pair a class links them.
     """
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    hub = regions.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "bits_a", "bits_b", "of"), F.struct("links", -F.col("id"))).alias("hub"))
-    near = F.expr(f"of != hub.of AND bit_count(bits_a ^ hub.bits_a) + bit_count(bits_b ^ hub.bits_b) <= {most_bits}")
+    hub = regions.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "bits_a", "bits_b", "size", "of"), F.struct("links", -F.col("id"))).alias("hub"))
+    near = F.expr(f"of != hub.of AND {_near('{}', 'hub.{}', most_bits, percent)}")
     return regions.join(hub, "key").where(near).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
@@ -222,7 +273,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     signed = Cut(texts.mapInArrow(_signatures(shingle_words), "id bigint, n_shingles bigint, set_a bigint, set_b bigint, bits_a bigint, bits_b bigint, signature binary")).df
     members = signed.select("id", "n_shingles", "set_a", "set_b")
     leaders = members.where("n_shingles > 0 AND id IS NOT NULL").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("id"), F.count("*").alias("n_rows"))
-    classes = signed.join(leaders, ["n_shingles", "set_a", "set_b", "id"], "left_semi").select("id", "bits_a", "bits_b", "signature")
+    classes = signed.join(leaders, ["n_shingles", "set_a", "set_b", "id"], "left_semi").select("id", "bits_a", "bits_b", "signature", "n_shingles")
 
     many = leaders.count()
     least = min(DEPTH, max(3, math.ceil(math.log(max(2, many)) / math.log(16))))
@@ -230,7 +281,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     most_bits = math.ceil(VALUES * differ + SKETCH_SIGMAS * math.sqrt(VALUES * differ * (1 - differ)))
     # enough ranges for the rows at hand; ids are part of the order, so a crowd with one prefix is split too
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), many * TREES // 2_000_000)
-    forest = classes.mapInArrow(_plant, "tree int, prefix binary, id bigint, bits_a bigint, bits_b bigint")
+    forest = classes.mapInArrow(_plant, "tree int, prefix binary, id bigint, bits_a bigint, bits_b bigint, size bigint")
     lined = forest.repartitionByRange(ranges, "tree", "prefix", "id").sortWithinPartitions("tree", "prefix", "id")
     candidates = Cut(lined.mapInArrow(_neighbours(least, most_bits), "a bigint, b bigint, far int").where("a < b").groupBy("a", "b").agg(F.min("far").alias("far"))).df
 
@@ -243,11 +294,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     second = _confirm(apart, texts, shingle_words, percent)
     linked = Cut(first.unionByName(second)).df
     joined = Cut(connected_components(linked)).df
-    hubs = Cut(_hubs(_regions(forest, joined, least), linked, most_bits).join(candidates.select("a", "b"), ["a", "b"], "left_anti")).df
+    hubs = Cut(_hubs(_regions(forest, joined, least), linked, most_bits, percent).join(candidates.select("a", "b"), ["a", "b"], "left_anti")).df
     linked = Cut(linked.unionByName(_confirm(hubs, texts, shingle_words, percent))).df
     joined = Cut(connected_components(linked)).df
-    hidden = Cut(_inside(forest, joined, least, most_bits).join(candidates.select("a", "b"), ["a", "b"], "left_anti")).df
-    components = connected_components(linked.unionByName(_confirm(hidden, texts, shingle_words, percent)))
+    hidden = Cut(_inside(forest, joined, least, most_bits, percent).join(candidates.select("a", "b"), ["a", "b"], "left_anti")).df
+    components = connected_components(linked.unionByName(_confirm_squares(hidden, texts, shingle_words, percent)))
 
     # a class has one row here, so no key is hot; the rows of large classes meet their leader without a shuffle
     named = cut(leaders.join(components, "id", "left").select("n_shingles", "set_a", "set_b", F.col("id").alias("leader"), "component", "n_rows"))
