@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import documents, finance, history, mentions, notices, pages, places, tenders
+from ledgerloom.plans import documents, finance, history, mentions, notices, pages, places, records, tenders
 
-MODULES: tuple[ModuleType, ...] = (tenders, finance, history, documents, places, pages, notices, mentions)
+MODULES: tuple[ModuleType, ...] = (tenders, finance, history, documents, places, pages, notices, mentions, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
