@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import ann, bpe, classifier, html_extract, line_dedup, minhash, mixing, pii, quality_rules, substring
+from ledgerloom.llm import ann, bpe, classifier, collocations, html_extract, langid, line_dedup, minhash, mixing, pii, quality_rules, runs, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,17 +55,29 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_maximal_pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    of = (op1_quality_divergence, op2_one_bit_ann, op3_temperature_mixing, op4_substring_dedup, op5_bpe_trie, op6_byte_cnn, op7_html_tree, op8_minhash_forest, op9_pii, op10_fuzzy_lines, pipeline)
+    of = (op1_quality_divergence, op2_one_bit_ann, op3_temperature_mixing, op4_substring_dedup, op5_bpe_trie, op6_byte_cnn, op7_html_tree, op8_minhash_forest, op9_pii, op10_fuzzy_lines, op11_maximal_pair_runs, op12_kneser_ney_language, op13_phrase_streams, pipeline)
     return {f.__name__: f for f in of}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_one_bit_ann": ORACLE_NEAREST, "op3_temperature_mixing": ORACLE_MIXING, "op4_substring_dedup": ORACLE_WINDOWS, "op8_minhash_forest": ORACLE_COMPONENTS} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_one_bit_ann": ORACLE_NEAREST, "op3_temperature_mixing": ORACLE_MIXING, "op4_substring_dedup": ORACLE_WINDOWS, "op8_minhash_forest": ORACLE_COMPONENTS, "op11_maximal_pair_runs": ORACLE_RUNS, "op13_phrase_streams": ORACLE_PHRASES} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 #: Brute force; at these sizes the bounds leave no neighbour out.
@@ -153,3 +165,44 @@ r AS (SELECT DISTINCT v AS root, v AS reached FROM u UNION SELECT r.root, u.w FR
 m AS (SELECT root, min(reached) AS component_id FROM r GROUP BY root)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN m ON m.root = s.doc_id
 """
+
+#: Pairs of equal windows of 16 words whose words before differ; how far they reach; the smallest period of a stretch.
+ORACLE_RUNS = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes FROM documents),
+h AS (SELECT doc_id, ws, CAST(len(ws) AS BIGINT) AS n, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(bytes, lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END)), 4294967295::BIGINT) AS h FROM d),
+m AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a, CASE WHEN n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) ELSE 1 END AS p FROM h),
+t AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: ws[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) ELSE ws END AS ws FROM m),
+g AS MATERIALIZED (SELECT doc_id, n, unnest(range(0, n - 15)) AS i, unnest(list_transform(range(1, n - 14), lambda i: array_to_string(ws[i:i + 15], ' '))) AS w16, unnest(list_transform(range(1, n - 14), lambda i: CASE WHEN i > 1 THEN ws[i - 1] END)) AS before FROM t WHERE n >= 24),
+-- places where equal windows of 16 words begin, a period apart, and the words before differ
+c AS MATERIALIZED (SELECT x.doc_id, x.i AS s, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.w16 = y.w16 AND y.i > x.i AND x.before IS DISTINCT FROM y.before AND 3 * (y.i - x.i) <= x.n - x.i),
+-- how far the words stay equal
+e AS (SELECT doc_id, s, q, coalesce(list_position(list_transform(range(s + 1, n - q + 1), lambda k: ws[k] = ws[k + q]), false) - 1, n - q - s) + q AS len FROM c JOIN t USING (doc_id)),
+r AS MATERIALIZED (SELECT doc_id, s, len, min(q) AS q FROM e WHERE len >= greatest(24, 3 * q) GROUP BY doc_id, s, len),
+b AS (SELECT doc_id, s, len, q FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(len * 1000000000 // q AS BIGINT) DESC, s, q) = 1),
+l AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(range(0, n)) AS i, unnest(ws) AS w FROM t) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, CAST(1000 * len // q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+#: Every phrase of one to five words, every cut, and every phrase inside a longer one.
+ORACLE_PHRASES = """
+WITH RECURSIVE pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, list_transform(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]'), lambda p: regexp_extract_all(p, '[^\\x20\\x09]+')) AS ps FROM documents
+), w AS MATERIALIZED (SELECT lang, unnest(ps) AS ws FROM pieces),
+words AS MATERIALIZED (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws, unnest(range(1, 6)) AS k FROM w WHERE len(ws) > 0),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM g) GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+cuts AS (SELECT lang, phrase, k, a, unnest(range(1, k)) AS j, ws FROM c),
+s AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, x.f AS l, y.f AS r, CAST(n AS BIGINT) AS n, j, CAST(1000::HUGEINT * cuts.a * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts JOIN words ON words.lang = cuts.lang
+  JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1:j], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[j + 1:cuts.k], ' ')
+), worst AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (SELECT lang, k, a AS longer, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))))) AS phrase FROM c),
+gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner_ USING (lang, phrase) WHERE 100 * longer >= 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM worst ANTI JOIN gone USING (lang, phrase) QUALIFY rank <= 2000
+"""
