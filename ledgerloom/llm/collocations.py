@@ -50,8 +50,8 @@ COVERED_PERCENT = 100
 SKETCHED, COUNTERS, WORDS_PER_COUNTER = 3, (1 << 20, 1 << 27), 32
 #: Counters in a block, the unit that tasks send.
 BLOCK = 1 << 16
-#: Bytes of text that are counted together, and phrases of a range of the streams.
-GROUP_BYTES, RANGE_ROWS = 8 << 20, 100_000
+#: Bytes of text that are counted together, phrases that a task holds before it sends them, and phrases of a range.
+GROUP_BYTES, HELD_PHRASES, RANGE_ROWS = 4 << 20, 1_000_000, 100_000
 #: Keys that the borders of one range are drawn from.
 _KEYS_PER_RANGE = 32
 
@@ -136,16 +136,17 @@ def _maybe_frequent(docs: DataFrame, counters: int, min_count: int) -> dict[int,
                 at = np.flatnonzero(some)
                 if len(at):
                     sparse = len(at) * (2 + some.itemsize) < some.nbytes
-                    sent = at.astype(np.uint16).tobytes() + some[at].tobytes() if sparse else some.tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([sparse]), pa.array([sent], pa.binary())], ["k", "block", "sparse", "counts"])
+                    sent = pa.compress(at.astype(np.uint16).tobytes() + some[at].tobytes() if sparse else some.tobytes(), codec="zstd", asbytes=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([len(at) if sparse else BLOCK], pa.int32()), pa.array([sent], pa.binary())], ["k", "block", "filled", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, block, sparse, sent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, block, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 into = held.setdefault((k, block), np.zeros(BLOCK, np.uint32))
-                if sparse:
-                    n = len(sent) // (2 + np.dtype(kind).itemsize)
+                size = np.dtype(kind).itemsize
+                sent = pa.decompress(packed, n * (size + 2 * (n < BLOCK)), codec="zstd", asbytes=True)
+                if n < BLOCK:
                     at = np.frombuffer(sent[: 2 * n], np.uint16)
                     into[at] = np.minimum(into[at] + np.frombuffer(sent[2 * n :], kind), min_count)
                 else:
@@ -153,7 +154,7 @@ def _maybe_frequent(docs: DataFrame, counters: int, min_count: int) -> dict[int,
         for (k, block), counts in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([np.packbits(counts >= min_count).tobytes()], pa.binary())], ["k", "block", "bits"])
 
-    sent = docs.mapInArrow(count, "k int, block int, sparse boolean, counts binary")
+    sent = docs.mapInArrow(count, "k int, block int, filled int, counts binary")
     summed = sent.repartition("k", "block").mapInArrow(add, "k int, block int, bits binary")
     out = {k: np.zeros(counters // 8, np.uint8) for k in range(1, SKETCHED + 1)}
     for row in summed.collect():
@@ -174,6 +175,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, text_col: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[str] = []
+        held: dict[int, _Held] = {}
         bits = shared.value
         for pieces in _groups(batches, names):
             total = np.bincount(pieces.lang, minlength=len(names))
@@ -190,15 +192,42 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, text_col: str
                     ok[at[known.astype(bool)]] = True
                 before = ok
                 starts = np.flatnonzero(ok)
-                _, first, n = np.unique(h[starts], return_index=True, return_counts=True)
-                for a in range(0, len(first), 50_000):
-                    at = starts[first[a : a + 50_000]].tolist()
-                    yield _rows([names[i] for i in pieces.lang[at].tolist()], [pieces.text(i, k) for i in at], n[a : a + 50_000])
+                keys, first, n = np.unique(h[starts], return_index=True, return_counts=True)
+                held.setdefault(k, _Held()).add(keys, n, starts[first], pieces, k)
+            if sum(len(x.keys) for x in held.values()) > HELD_PHRASES:
+                for x in held.values():
+                    yield from x.rows(names)
+                held.clear()
+        for x in held.values():
+            yield from x.rows(names)
 
     counted = rows.select("text", "lang").mapInArrow(count, "lang string, phrase string, n bigint")
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
 
 
+class _Held:
+    """Phrases of one length that a task has met: hashes in order, counts, languages and texts."""
+
+    def __init__(self):
+        self.keys, self.n, self.lang, self.text = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, object)
+
+    def add(self, keys: np.ndarray, n: np.ndarray, starts: np.ndarray, pieces: Pieces, k: int) -> None:
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        self.n[at[known]] += n[known]
+        new, at, starts = ~known, at[~known], starts[~known]
+        texts = np.empty(len(at), object)
+        texts[:] = [pieces.text(i, k) for i in starts.tolist()]
+        self.keys, self.n = np.insert(self.keys, at, keys[new]), np.insert(self.n, at, n[new])
+        self.lang, self.text = np.insert(self.lang, at, pieces.lang[starts]), np.insert(self.text, at, texts)
+
+    def rows(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.keys), 50_000):
+            yield _rows([names[i] for i in self.lang[a : a + 50_000].tolist()], self.text[a : a + 50_000].tolist(), self.n[a : a + 50_000])
+
+
 def _rows(langs: list[str], phrases: list[str], n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
 
