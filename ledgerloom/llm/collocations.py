@@ -47,7 +47,7 @@ LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: A phrase goes if a longer one has this share of its count, in per cent.
 COVERED_PERCENT = 100
 #: Lengths of phrases that have counters; bounds of the counters of a length, and words to a counter between them.
-SKETCHED, COUNTERS, WORDS_PER_COUNTER = 3, (1 << 20, 1 << 27), 32
+SKETCHED, COUNTERS, WORDS_PER_COUNTER = 3, (1 << 20, 1 << 27), 64
 #: Counters in a block, the unit that tasks send.
 BLOCK = 1 << 16
 #: Bytes of text that are counted together, phrases that a task holds before it sends them, and phrases of a range.
@@ -135,7 +135,7 @@ def _maybe_frequent(docs: DataFrame, counters: int, min_count: int) -> dict[int,
             for block, some in enumerate(all_counts.reshape(-1, BLOCK)):
                 at = np.flatnonzero(some)
                 if len(at):
-                    sparse = len(at) * (2 + some.itemsize) < some.nbytes
+                    sparse = len(at) * 24 < BLOCK  # compressed counters take a bit or two each, places two bytes
                     sent = pa.compress(at.astype(np.uint16).tobytes() + some[at].tobytes() if sparse else some.tobytes(), codec="zstd", asbytes=True)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([len(at) if sparse else BLOCK], pa.int32()), pa.array([sent], pa.binary())], ["k", "block", "filled", "counts"])
 
