@@ -6,7 +6,8 @@ that divides them worst. Three parts:
 1. Counts. A first pass over the texts adds up saturating counters of hashed phrases of one to SKETCHED words;
    the tasks' counters are summed by blocks and become one bit a counter: may reach MIN_COUNT. A second pass keeps
    a phrase only if its own counter's bit and those of the shorter phrases inside it are set (no phrase is more
-   frequent than a part of it), counts what is left per task and adds that up by phrase. The counters only save
+   frequent than a part of it), counts what is left per task and sends it in compressed blocks, with phrases that
+   begin alike side by side; buckets of blocks are added up as they come. The counters only save
    work: whatever they let through is counted whole, and what they stop can't reach MIN_COUNT. Their number grows
    with the words, up to COUNTERS[1]; beyond it more rare phrases are shuffled, and the result is the same.
 2. Streams. The frequent phrases of all lengths, and each language's number of words as the empty phrase, form one
@@ -32,10 +33,12 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,11 +50,13 @@ LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: A phrase goes if a longer one has this share of its count, in per cent.
 COVERED_PERCENT = 100
 #: Lengths of phrases that have counters; bounds of the counters of a length, and words to a counter between them.
-SKETCHED, COUNTERS, WORDS_PER_COUNTER = 3, (1 << 20, 1 << 27), 64
+SKETCHED, COUNTERS, WORDS_PER_COUNTER = 3, (1 << 20, 1 << 27), 32
 #: Counters in a block, the unit that tasks send.
 BLOCK = 1 << 16
 #: Bytes of text that are counted together, phrases that a task holds before it sends them, and phrases of a range.
 GROUP_BYTES, HELD_PHRASES, RANGE_ROWS = 4 << 20, 1_000_000, 100_000
+#: Bounds of the buckets that phrases are added up in, and words to a bucket between them.
+BUCKETS, WORDS_PER_BUCKET = (64, 4096), 1 << 21
 #: Keys that the borders of one range are drawn from.
 _KEYS_PER_RANGE = 32
 
@@ -170,17 +175,18 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, text_col: str
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
     words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     counters = min(max(COUNTERS[0], 1 << (words // WORDS_PER_COUNTER).bit_length()), COUNTERS[1])
+    buckets = min(max(BUCKETS[0], words // WORDS_PER_BUCKET), BUCKETS[1])
     shift = np.uint64(64 - (counters.bit_length() - 1))
     shared = spark.sparkContext.broadcast(_maybe_frequent(rows, counters, min_count))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[str] = []
         held: dict[int, _Held] = {}
+        total: Counter = Counter()
         bits = shared.value
         for pieces in _groups(batches, names):
-            total = np.bincount(pieces.lang, minlength=len(names))
-            live = np.flatnonzero(total)
-            yield _rows([names[i] for i in live], [""] * len(live), total[live])
+            for i, some in enumerate(np.bincount(pieces.lang, minlength=len(names)).tolist()):
+                total[names[i]] += some
             before = None
             for k, h, fits in pieces.phrases(LONGEST):
                 ok = fits if before is None else fits & before[:-1] & before[1:]
@@ -191,27 +197,43 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, text_col: str
                     ok = np.zeros(len(h), bool)
                     ok[at[known.astype(bool)]] = True
                 before = ok
+                pair = h if k <= 2 else pair
                 starts = np.flatnonzero(ok)
                 keys, first, n = np.unique(h[starts], return_index=True, return_counts=True)
-                held.setdefault(k, _Held()).add(keys, n, starts[first], pieces, k)
+                held.setdefault(k, _Held()).add(keys, pair[starts[first]], n, starts[first], pieces, k)
             if sum(len(x.keys) for x in held.values()) > HELD_PHRASES:
-                for x in held.values():
-                    yield from x.rows(names)
+                yield from _blocks(held, names, buckets)
                 held.clear()
-        for x in held.values():
-            yield from x.rows(names)
+        if held:
+            yield from _blocks(held, names, buckets)
+        live = [x for x in total if total[x]]
+        yield _sent(0, pa.RecordBatch.from_arrays([pa.array(live, pa.string()), pa.array([""] * len(live), pa.string()), pa.array([total[x] for x in live], pa.int64())], ["lang", "phrase", "n"]))
 
-    counted = rows.select("text", "lang").mapInArrow(count, "lang string, phrase string, n bigint")
-    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, rows = [], 0
+        for batch in batches:
+            for block in batch.column(1).to_pylist():
+                tables.append(pa.ipc.open_stream(block).read_all())
+                rows += tables[-1].num_rows
+                if rows > HELD_PHRASES and len(tables) > 1:
+                    tables = [_summed(tables)]
+                    rows = tables[0].num_rows // 2  # sums anew once as many more have come
+        if tables:
+            every = _summed(tables)
+            yield from every.filter((pc.field("n") >= min_count) | (pc.field("phrase") == "")).to_batches(max_chunksize=50_000)
+
+    counted = rows.select("text", "lang").mapInArrow(count, "bucket int, block binary")
+    return counted.repartition("bucket").mapInArrow(add, "lang string, phrase string, n bigint").withColumnRenamed("n", "f")
 
 
 class _Held:
-    """Phrases of one length that a task has met: hashes in order, counts, languages and texts."""
+    """Phrases of one length that a task has met: hashes in order, hashes of their first two words, counts, languages and texts."""
 
     def __init__(self):
-        self.keys, self.n, self.lang, self.text = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, object)
+        self.keys, self.pair = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.n, self.lang, self.text = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, object)
 
-    def add(self, keys: np.ndarray, n: np.ndarray, starts: np.ndarray, pieces: Pieces, k: int) -> None:
+    def add(self, keys: np.ndarray, pair: np.ndarray, n: np.ndarray, starts: np.ndarray, pieces: Pieces, k: int) -> None:
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         inside = at < len(self.keys)
@@ -220,16 +242,29 @@ class _Held:
         new, at, starts = ~known, at[~known], starts[~known]
         texts = np.empty(len(at), object)
         texts[:] = [pieces.text(i, k) for i in starts.tolist()]
-        self.keys, self.n = np.insert(self.keys, at, keys[new]), np.insert(self.n, at, n[new])
+        self.keys, self.pair, self.n = np.insert(self.keys, at, keys[new]), np.insert(self.pair, at, pair[new]), np.insert(self.n, at, n[new])
         self.lang, self.text = np.insert(self.lang, at, pieces.lang[starts]), np.insert(self.text, at, texts)
 
-    def rows(self, names: list[str]) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(self.keys), 50_000):
-            yield _rows([names[i] for i in self.lang[a : a + 50_000].tolist()], self.text[a : a + 50_000].tolist(), self.n[a : a + 50_000])
+
+def _blocks(held: dict[int, _Held], names: list[str], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The phrases as compressed blocks, one a bucket; phrases that begin with the same two words lie side by side."""
+    pair, lang, text, n = (np.concatenate([getattr(x, name) for x in held.values()]) for name in ("pair", "lang", "text", "n"))
+    bucket = ((pair >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((pair, bucket))
+    for places in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+        block = pa.RecordBatch.from_arrays([pa.array([names[i] for i in lang[places].tolist()], pa.string()), pa.array(text[places].tolist(), pa.string()), pa.array(n[places], pa.int64())], ["lang", "phrase", "n"])
+        yield _sent(int(bucket[places[0]]), block)
+
+
+def _sent(bucket: int, block: pa.RecordBatch) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(block)
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "block"])
 
 
-def _rows(langs: list[str], phrases: list[str], n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
 
 
 Key = tuple[str, ...]
