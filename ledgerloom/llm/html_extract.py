@@ -52,7 +52,7 @@ CLOSES = {
 FENCES = {"li": frozenset({"ul", "ol", "menu", "dir"}), "dt": frozenset({"dl"}), "dd": frozenset({"dl"}), "tr": frozenset({"table"}), "td": frozenset({"table", "tr"}), "th": frozenset({"table", "tr"})}
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup tt u var".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-hidden|hidden|style|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|cookies?|disqus|extra|footer|foot|gdpr|header|legends|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|pager|pagination|popup|promo\w*|related|remark|replies|reply|respond|rss|share|sharing|shoutbox|sidebar|signup|skyscraper|social|sponsor\w*|subscribe|taboola|tags|toolbar|widget)(?:$|[\s_-]|\d)",
@@ -90,16 +90,16 @@ def parse(markup: str) -> Node:
                 return node.parent
             node = node.parent
 
-    for m in _TOKEN.finditer(markup):
-        if m.start() < at:
-            continue
+    last_section = markup.rfind("]]>")  # a section that nothing closes is a comment that ends at the next >
+    while m := _TOKEN.search(markup, at):
         if m.start() > at:
             here.children.append(entities.unescape(markup[at : m.start()]))
         at = m.end()
         name = m[2]
         if name is None:
-            if m[0].startswith("<![CDATA["):
-                here.children.append(m[0][9:-3])
+            if m[0].startswith("<![CDATA[") and m.start() + 9 <= last_section:
+                at = markup.index("]]>", m.start() + 9) + 3
+                here.children.append(markup[m.start() + 9 : at - 3])
             continue
         name = name.lower()
         if m[1]:

@@ -124,3 +124,27 @@ def test_very_long_texts(spark):
 
 def test_corpus_helper_has_all_kinds():
     assert any(r[1] is None for r in corpus()) and any(r[1] == "" for r in corpus())
+
+
+def test_html_raw_elements_hide_their_tokens():
+    body = f"<article><p>{PROSE}</p><p>{PROSE}</p></article>"
+    want = "\n".join([PROSE.strip()] * 2)
+    for raw in ("<script><!-- var a=1; </script>", "<style><!-- p {} </style>", "<script>if(i<n)x='a='; y=\"</script>", "<script><![CDATA[ x </script>", "<textarea><p title=\"</textarea>", "<script></p><!x </script>"):
+        assert html_extract.extract(f"<body>{raw}{body}</body>") == want, raw
+    assert html_extract.extract(f'<body><script>if(i<n)x=\'a=\'; y="</script><article><p title="x">{PROSE}</p><p>{PROSE}</p></article></body>') == want
+    assert html_extract.extract(f"<body><article><p><![CDATA[abc</p><p>{PROSE}</p><p>{PROSE}</p></article></body>") == want
+    assert html_extract.extract(f"<body><article><p>{PROSE}</p><!doctype odd><p>{PROSE}</p><?pi x></article></body>") == want
+    began = time.time()
+    html_extract.extract("<![CDATA[" * 60_000)
+    html_extract.extract("<script>" + "<!--" * 60_000)
+    assert time.time() - began < 5
+
+
+def test_html_texts_never_hold_markup():
+    draw = random.Random(8)
+    noise = ["<script>x<!--y</script>", "<style>a{<!--}</style>", "<!-- <p>no</p> -->", "<![CDATA[z>", "<?x?>", "<br>", "<b>bold</b>", '<a href="/x">link</a>', "&lt;b&gt;", "<script>s='<p>'</script>", "<noscript><p>no</p></noscript>"]
+    for _ in range(300):
+        paragraphs = ["".join(draw.choice([PROSE, draw.choice(noise)]) for _ in range(6)) for _ in range(4)]
+        text = html_extract.extract("<html><body><div class=content>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div></body></html>")
+        left = text.replace("<b>", "")  # decoded from &lt;b&gt;
+        assert "<" not in left and "-->" not in left and "{" not in left and text.count("Some words") == sum(p.count("Some words") for p in paragraphs)
