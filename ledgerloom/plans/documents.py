@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money, state, text
-from ledgerloom.operators import reconcile, search
+from ledgerloom.operators import postings, reconcile, search
 from ledgerloom.sources.ledger import Ledger, with_tables
 
 # The registry that the sources of the given tables stand for.
@@ -16,6 +16,7 @@ SWITCHED_ON = ["src1", "src3"]
 # Words that a neutral text doesn't use.
 FORBIDDEN = ("scam", "fraud", "corrupt", "looted", "worthless", "crook", "idiot")
 TERM = 'the "of the" -worthless'
+INDEX_TERM = 'and "of the" -on'
 
 
 def _decided(rows, spark):
@@ -87,6 +88,13 @@ def search_passages(spark, sf_dir):
     return search.passages(shown, TERM, 20).select("id", "source", "rank", (F.size(F.split("excerpt", " ")) <= search.EXCERPT_WORDS).alias("short"))
 
 
+def search_index(spark, sf_dir):
+    """The twenty best publishable documents for a query over postings, by how near its words stand, with their excerpts' words."""
+    docs = Ledger(spark, sf_dir).document.select("id", "source", "lang", "text")
+    found = postings.search(postings.build(docs), _decided(docs, spark).where("publishable").select("id", "source", "text"), INDEX_TERM, 20)
+    return found.select("id", "source", "rank", F.array_join(search.tokens(F.col("excerpt")), " ").alias("excerpt_words"))
+
+
 def bag_overlap(spark, sf_dir):
     """Each benchmark passage against the document of the same number: shared tokens as precision and recall."""
     x = Ledger(spark, sf_dir)
@@ -123,7 +131,7 @@ def money_display(spark, sf_dir):
     return rows.select("c_custkey", money.format_money(F.col("paise")).alias("shown"), money.format_money(F.col("paise"), "full").alias("full"), money.accessible_string(F.col("paise")).alias("said"))
 
 
-QUERIES = [publishable_sources, published_fact, review_progress, stratified_sample, distinct_on_sentence, sentence_counts, script_and_half, secret_scrub, neutral_scan, search_passages, bag_overlap, triage, money_display]
+QUERIES = [publishable_sources, published_fact, review_progress, stratified_sample, distinct_on_sentence, sentence_counts, script_and_half, secret_scrub, neutral_scan, search_passages, search_index, bag_overlap, triage, money_display]
 
 _DECISION = """CASE WHEN source IN ('src0', 'src4') THEN 'terms_permit' WHEN source IN ('src1', 'src5') OR source = 'src3' AND lang = 'en' THEN CASE WHEN source IN ('src1', 'src3') THEN 'grant_recorded' ELSE 'not_switched_on' END
   WHEN source IN ('src3', 'src6') THEN 'permission_not_granted' ELSE 'terms_unrecorded' END"""
@@ -157,6 +165,14 @@ SQL = {
     "neutral_scan": f"SELECT id, term, count(*) AS n FROM (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents) WHERE term IN {FORBIDDEN} GROUP BY 1, 2",
     "search_passages": f"""SELECT doc_id AS id, source, rank, true AS short FROM (SELECT doc_id, source, round(len(list_filter(t, lambda w: w IN ('the', 'of'))) / (1 + ln(len(t) + 1.0)), 9) AS rank, ' ' || array_to_string(t, ' ') || ' ' AS line
   FROM (SELECT *, {_TOKENS} AS t FROM documents WHERE {_SHOWN})) WHERE contains(line, ' the ') AND contains(line, ' of the ') AND NOT contains(line, ' worthless ') ORDER BY rank DESC, doc_id LIMIT 20""",
+    "search_index": f"""WITH d AS (SELECT doc_id AS id, source, {_TOKENS} AS t FROM documents WHERE {_SHOWN}),
+h AS (SELECT * FROM d WHERE list_contains(t, 'and') AND contains(' ' || array_to_string(t, ' ') || ' ', ' of the ') AND NOT list_contains(t, 'on')),
+p AS (SELECT *, list_transform(['and', 'of', 'the'], lambda w: list_filter(range(0, len(t)), lambda i: t[i + 1] = w)) AS ps FROM h),
+r AS (SELECT id, source, t, list_sort(flatten(ps)) AS starts, ps, list_aggregate(flatten(list_transform([[1, 2], [1, 3], [2, 3]], lambda ij: flatten(list_transform(ps[ij[1]], lambda a: list_transform(list_filter(ps[ij[2]], lambda b: abs(a - b) <= 100), lambda b: 1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a - b) / 1.5 - 2)))))))), 'product') AS rest FROM p),
+b AS (SELECT id, source, t, ps, starts, round(1 - coalesce(rest, 1), 6) AS rank FROM r ORDER BY rank DESC, id LIMIT 20),
+s AS (SELECT id, source, rank, t, unnest(starts) AS s, ps FROM b),
+e AS (SELECT *, list_sum(list_transform(ps, lambda q: CAST(len(list_filter(q, lambda x: x >= s AND x < s + 28)) > 0 AS INTEGER))) AS n FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, s) = 1)
+SELECT id, source, rank, array_to_string(t[s + 1:s + 28], ' ') AS excerpt_words FROM e""",
     "bag_overlap": f"""WITH b AS (SELECT item_id AS k, unnest({_TOKENS}) AS w FROM benchmark), d AS (SELECT doc_id AS k, unnest({_TOKENS}) AS w FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)),
 x AS (SELECT coalesce(bc.k, dc.k) AS k, bc.n, dc.n AS m FROM (SELECT k, w, count(*) AS n FROM b GROUP BY 1, 2) bc FULL JOIN (SELECT k, w, count(*) AS n FROM d GROUP BY 1, 2) dc ON bc.k = dc.k AND bc.w = dc.w)
 SELECT k AS item_id, CAST(sum(least(coalesce(n, 0), coalesce(m, 0))) AS BIGINT) AS shared, CAST(sum(n) AS BIGINT) AS truth, CAST(sum(m) AS BIGINT) AS found, round(sum(least(coalesce(n, 0), coalesce(m, 0))) / sum(n), 6) AS recall, round(sum(least(coalesce(n, 0), coalesce(m, 0))) / sum(m), 6) AS precision FROM x GROUP BY k""",
