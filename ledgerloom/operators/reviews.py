@@ -49,13 +49,20 @@ def pages_awaiting(pages: DataFrame, readings: DataFrame, engines: list[str]) ->
 def reserved(rows: DataFrame, key: str, start: int) -> DataFrame:
     """(key, new_id): consecutive ids from ``start`` in the order of a unique integer key.
 
-    Ranks are counted inside buckets of neighbouring keys; only the buckets' sizes are summed in one window.
+    Ranks are counted inside buckets of BUCKET neighbouring keys, and sizes summed bucket by bucket in three steps, each
+    a hundred thousand times as wide: no window holds more than BUCKET rows, whatever the keys.
     """
-    dealt = rows.select(key, F.floor(F.col(key) / BUCKET).alias("_bucket"))
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.select("_bucket", (F.sum("_n").over(W.orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(W.partitionBy("_bucket").orderBy(key)) - 1
-    return dealt.withColumn("_rank", rank).join(before, "_bucket").select(key, (F.lit(start) + F.col("_before") + F.col("_rank")).cast("long").alias("new_id"))
+    wide = [F.floor(F.col(key) / BUCKET), F.floor(F.col(key) / BUCKET**2), F.floor(F.col(key) / BUCKET**3)]
+    dealt = rows.select(key, *(w.alias(f"_b{i}") for i, w in enumerate(wide)))
+    places = dealt.select(key, "_b0", (F.row_number().over(W.partitionBy("_b0").orderBy(key)) - 1).alias("_place"))
+    sizes = dealt.groupBy("_b0", "_b1", "_b2").agg(F.count("*").alias("_n"))
+    for i in range(3):
+        inside = W.partitionBy(f"_b{i + 1}").orderBy(f"_b{i}") if i < 2 else W.orderBy("_b2")
+        step = sizes if i == 0 else sizes.groupBy(*(f"_b{j}" for j in range(i, 3))).agg(F.sum("_n").alias("_n"))
+        before = step.select(f"_b{i}", *([f"_b{i + 1}"] if i < 2 else []), (F.sum("_n").over(inside) - F.col("_n")).alias(f"_before{i}"))
+        steps = before if i == 0 else steps.join(before, f"_b{i}")
+    total = F.col("_before0") + F.col("_before1") + F.col("_before2")
+    return places.join(steps.select("_b0", total.alias("_before")), "_b0").select(key, (F.lit(start) + F.col("_before") + F.col("_place")).cast("long").alias("new_id"))
 
 
 def promoted(facts: DataFrame, start: int) -> DataFrame:
