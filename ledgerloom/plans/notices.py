@@ -20,9 +20,13 @@ def notice_fields(spark, sf_dir):
 
 
 def letter_fields(spark, sf_dir):
-    """Orders as letters: a deposit in grouped rupees, and a pre-bid meeting whose day may be a month."""
+    """Orders as letters: a deposit in grouped rupees, a pre-bid meeting whose day may be a month, with and without its
+    time, the notice's number and the issuer's reference."""
     o = Ledger(spark, sf_dir).raw("orders")
-    page = F.concat(F.lit("Earnest Money Deposit : Rs. "), F.floor("o_totalprice").cast("string"), F.lit("\nPre-Bid Meeting: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" at noon"))
+    page = F.concat(F.lit("Earnest Money Deposit : Rs. "), F.floor("o_totalprice").cast("string"), F.lit("\nPre-Bid Meeting: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.when(F.col("o_orderkey") % 3 == 0, " at noon").when(F.col("o_orderkey") % 3 == 1, " at 12.30 Hrs").otherwise(" ; Time - 25.00 Hrs"))
+    number = F.concat(F.lit("\nE-Tender Notice No. "), (F.col("o_orderkey") % 100).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " (2026 - 2027)").otherwise(" OF 2023-24"))
+    reference = F.concat(F.lit("\nNo. MSIDC/Mumbai/ "), F.col("o_custkey").cast("string"), F.lit(" /2026"), F.when(F.col("o_orderkey") % 5 == 0, " ( 2nd Call )").otherwise(" Sd/-"))
+    page = F.concat(page, number, reference)
     rows = o.select(F.col("o_orderkey").alias("id"), F.explode(notices.readings(page)).alias("r"))
     return rows.select("id", "r.field", "r.value", "r.confidence")
 
@@ -73,8 +77,11 @@ SQL = {
     "notice_fields": with_tables(r""", v AS (SELECT id, title, 'p' AS x, '2026_' || upper(portal_code) || '_' || id || '_1' AS tid, CAST(tender_value_paise AS VARCHAR) AS paise, strftime(first_seen_at, '%Y-%m-%d') AS d FROM tender)
 SELECT id, 'gepnic_tender_id' AS field, 'tender_identifier' AS kind, tid AS value, CAST(0.9 AS DECIMAL(4,3)) AS confidence FROM v UNION ALL SELECT id, 'tender_reference_number', 'tender_identifier', title, 0.9 FROM v UNION ALL SELECT id, 'tender_value', 'monetary_amount', paise, 0.9 FROM v
 UNION ALL SELECT id, 'publish', 'tender_date', d || 'T00:00:00.000000Z', 0.9 FROM v UNION ALL SELECT id, 'financial_bid_opening', 'tender_date', d || 'T06:30:00.000000Z', 0.9 FROM v""", "tender"),
-    "letter_fields": """SELECT o_orderkey AS id, 'emd' AS field, CAST(CAST(floor(o_totalprice) AS BIGINT) * 100 AS VARCHAR) AS value, CAST(0.8 AS DECIMAL(4,3)) AS confidence FROM orders
-UNION ALL SELECT o_orderkey, 'pre_bid_meeting', strftime(o_orderdate, '%Y-%m-%d'), CASE WHEN day(o_orderdate) <= 12 AND day(o_orderdate) != month(o_orderdate) THEN 0.7 ELSE 0.8 END FROM orders""",
+    "letter_fields": """WITH o AS (SELECT o_orderkey AS id, *, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)
+SELECT id, 'emd' AS field, CAST(CAST(floor(o_totalprice) AS BIGINT) * 100 AS VARCHAR) AS value, CAST(0.8 AS DECIMAL(4,3)) AS confidence FROM o
+UNION ALL SELECT id, 'pre_bid_meeting', CASE WHEN id % 3 = 1 THEN d || 'T12:30+05:30' ELSE d END, CASE WHEN day(o_orderdate) <= 12 AND day(o_orderdate) != month(o_orderdate) THEN 0.7 ELSE 0.8 END FROM o
+UNION ALL SELECT id, 'notice_number', (id % 100) || CASE WHEN id % 2 = 0 THEN ' (2026-2027)' ELSE ' (2023-24)' END, 0.8 FROM o
+UNION ALL SELECT id, 'issuer_reference', 'MSIDC/Mumbai/' || o_custkey || '/2026' || CASE WHEN id % 5 = 0 THEN '(2ndCall)' ELSE '' END, 0.8 FROM o""",
     "fact_mentions": "SELECT s_suppkey, CASE WHEN length(l) > 1 THEN 'Firm ' || upper(left(l, 1)) || substr(l, 2) END AS firm, 'Public Works Department; Government of Goa' AS bodies, CAST(s_suppkey AS DECIMAL(38,0)) * 10000000 AS paise, 0 AS officers FROM (SELECT s_suppkey, translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'abcdefghij') AS l FROM supplier JOIN nation ON s_nationkey = n_nationkey)",
     "places_named": """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Nagar Haveli district' ELSE 'Nagar district' END AS value, 0 AS sentence, CAST(0.8 AS DECIMAL(4,3)) AS confidence FROM customer WHERE c_custkey % 3 != 2
 UNION ALL SELECT c_custkey, 'Nagar district', 1, 0.8 FROM customer WHERE c_custkey % 3 != 1 UNION ALL SELECT c_custkey, 'Building taluka', 1, 0.7 FROM customer WHERE c_mktsegment = 'BUILDING'""",

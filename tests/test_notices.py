@@ -60,3 +60,19 @@ def test_page_geometry(spark):
     assert [one(spark, "", q=page_geometry.quarter_turn(F.lit(x))).q for x in (1, 90, -1, 45, 540)] == [90, 90, 270, None, 180]
     verdicts = [(0.001, 0, 0, 0, "blank"), (0.9, 0, 0, 0, "dark-page"), (0.1, 0, 100, 30, "plate"), (0.1, 50, 100, 0, "text"), (0.1, 5, 100, 0, "sparse")]
     assert all(one(spark, "", v=page_geometry.page_verdict(F.lit(i), F.lit(t), F.lit(r), F.lit(m))).v == w for i, t, r, m, w in verdicts)
+
+
+def test_letters_are_read_whole(spark):
+    text = (
+        "No. MSIDC/Mumbai/Tender/ 09 /2026 (R.R.Hande)\nE-TENDER NOTICE NO.06 OF 2023-2024\nPre-Bid Meeting : 17/07/2026 at 12.00 Hrs\n"
+        "Tender opening (If possible): 05/05/2026 ; Time - 17.00 Hrs\nDate of Issue of E-Tender Notice : (Online) 03/03/2026 at 24.00 Hrs\n"
+        "Tender Ref. No: MSIDC/EOI/EMP-ADV/2026 (2nd Call)\nnotice No.09 Year 2024-25\nNo. MSIDC/x/20261"
+    )
+    got = sorted((r.field, r.value, float(r.confidence)) for r in one(spark, text, r=notices.letter(F.col("v"))).r)
+    assert got == [
+        ("bid_opening", "2026-05-05T17:00+05:30", 0.8), ("issuer_reference", "MSIDC/EOI/EMP-ADV/2026(2ndCall)", 0.8), ("issuer_reference", "MSIDC/Mumbai/Tender/09/2026", 0.8),
+        ("notice_number", "06 (2023-2024)", 0.8), ("notice_number", "09 (2024-25)", 0.8), ("pre_bid_meeting", "2026-07-17T12:00+05:30", 0.8), ("publish", "2026-03-03", 0.8),
+    ]
+    for space in ("  ", "\n", "  "):
+        page = f"निविदापूर्व बैठक दिनांक : २५.०५.२०२६,{space}सकाळी{space}११.३०"
+        assert [r.value for r in one(spark, page, r=notices.marathi(F.col("v"))).r] == ["2026-05-25T11:30+05:30"]
