@@ -7,10 +7,12 @@ the rows. A relation that can't be assembled gets a reason instead of rings.
 from __future__ import annotations
 
 import heapq
+import json
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,11 +48,11 @@ def close_rings(ways: list[list[tuple]]) -> list[list[tuple]]:
 
 
 @F.pandas_udf(T.StructType([T.StructField("rings", T.ArrayType(RING)), T.StructField("reason", T.StringType())]))
-def assembled(ways: pd.Series) -> pd.DataFrame:
-    """Rings of a relation's ways (arrays of points), or why there are none."""
+def _assembled(listed: pd.Series) -> pd.DataFrame:
     rings, reasons = [], []
-    for members in ways:
-        lines = [[(p["lon"], p["lat"]) for p in w] for w in (members if members is not None else []) if w is not None and len(w) >= 2]
+    for text in listed:
+        members = [m.get("geometry") if isinstance(m, dict) and m.get("type") == "way" else m if isinstance(m, list) else None for m in json.loads(text or "[]")]
+        lines = [[(float(p["lon"]), float(p["lat"])) for p in w] for w in members if w is not None and len(w) >= 2]
         try:
             rings.append([[{"lon": x, "lat": y} for x, y in ring] for ring in close_rings(lines)])
             reasons.append(None)
@@ -60,6 +62,15 @@ def assembled(ways: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"rings": pd.Series(rings, dtype=object), "reason": pd.Series(reasons, dtype=object)})
 
 
+def assembled(ways: Column | str) -> Column:
+    """struct(rings, reason): rings of a relation's ways, or why there are none.
+
+    ways: a column of arrays of points, or of a relation's members, of which those of type way are taken. They travel as
+    JSON, because nested arrays of unequal lengths don't reach pandas.
+    """
+    return _assembled.asNondeterministic()(F.to_json(ways))  # so marked, it is evaluated once, in a step of its own
+
+
 def _distance(ring: np.ndarray, x: float, y: float) -> float:
     """Distance from a point to a closed ring, negative outside."""
     a, b = ring[:-1], ring[1:]
