@@ -22,6 +22,11 @@ def decode_entities(text: Column) -> Column:
     return F.when(untouched, text).otherwise(F.replace(out, F.lit("&amp;"), F.lit("&")))
 
 
+def bound(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
+    """The kept columns and the new ones, each evaluated once: a generator of one row, through which no later use is substituted."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def plain(cell: Column) -> Column:
     """A cell's text: tags go, references are decoded, white space is one space."""
     return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(cell, "<[^>]*>", " ")), r"(?U)\s+", " "))

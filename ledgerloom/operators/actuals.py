@@ -33,11 +33,6 @@ def _month(name: Column, otherwise: int) -> Column:
     return F.when(place > 0, place).otherwise(otherwise)
 
 
-def _bound(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
-    """The kept columns and the new ones, each evaluated once: a generator of one row, through which no later use is substituted."""
-    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def parse(reports: DataFrame) -> DataFrame:
     """reports: report_id, unit_id, fiscal_year, html. Gives (report_id, unit_id, fiscal_year, from_month, to_month, departments, refusal).
 
@@ -45,8 +40,8 @@ def parse(reports: DataFrame) -> DataFrame:
     A null page states no unit. Rows whose first cell is no "CODE - name" are no departments.
     """
     key = ["report_id", "unit_id", "fiscal_year"]
-    read = _bound(reports, key, rows=F.coalesce(markup.rows_by_split(F.col("html")), F.expr("cast(array() AS array<array<string>>)")))
-    read = _bound(
+    read = markup.bound(reports, key, rows=F.coalesce(markup.rows_by_split(F.col("html")), F.expr("cast(array() AS array<array<string>>)")))
+    read = markup.bound(
         read, [*key, "rows"], flat=F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), " "),
         head=_first_place(F.col("rows"), lambda r: F.exists(r, lambda c: c.rlike("(?i)^Department$"))),
         total=_first_place(F.col("rows"), lambda r: F.get(r, F.lit(0)).rlike("(?i)^Total$")),
@@ -54,7 +49,7 @@ def parse(reports: DataFrame) -> DataFrame:
     months = lambda group: F.regexp_extract("flat", r"Yearly Budget\s+([A-Za-z]+)\s*-\s*([A-Za-z]+)", group)
     header = F.get("rows", F.when(F.col("head") > 0, F.col("head") - 1))
     places = F.struct(*[F.coalesce(_first_place(header, lambda c, p=p: c.rlike(p)), F.lit(0)).alias(n) for n, p in COLUMNS.items()])
-    placed = _bound(
+    placed = markup.bound(
         read, key, head=F.col("head"), crores=F.col("flat").rlike(r"(?i)Amount\s+in\s+Crores"), from_month=_month(months(1), YEAR_FROM), to_month=_month(months(2), YEAR_TO),
         places=places, scope=F.when(F.col("total") > 0, F.slice("rows", F.lit(1), F.col("total") - 1)).otherwise(F.col("rows")),
     )
@@ -65,7 +60,7 @@ def parse(reports: DataFrame) -> DataFrame:
         return F.struct(name(1).alias("dept_code"), F.trim(name(2)).alias("name_en"), *[figure(n).alias(n) for n in COLUMNS])
 
     stated = F.filter("scope", lambda r: F.coalesce(F.get(r, F.lit(0)).rlike(DEPARTMENT), F.lit(False)))
-    held = _bound(placed, [*key, "head", "crores", "places", "from_month", "to_month"], departments=F.transform(stated, department))
+    held = markup.bound(placed, [*key, "head", "crores", "places", "from_month", "to_month"], departments=F.transform(stated, department))
     codes = F.transform("departments", lambda d: d["dept_code"])
     odd = F.exists("departments", lambda d: reduce(lambda a, b: a | b, [d[n]["refusal"].isNotNull() for n in COLUMNS]))
     refusal = (
@@ -76,7 +71,7 @@ def parse(reports: DataFrame) -> DataFrame:
         .when(F.size("departments") == 0, "no_rows")
         .when(F.size(F.array_distinct(codes)) < F.size("departments"), "department_twice")
     )
-    return _bound(held, [*key, "from_month", "to_month", "departments"], refusal=refusal)
+    return markup.bound(held, [*key, "from_month", "to_month", "departments"], refusal=refusal)
 
 
 def figures(parsed: DataFrame) -> DataFrame:
