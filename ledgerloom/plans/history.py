@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates
 from ledgerloom.operators import reconcile
+from ledgerloom.session import Cut
 from ledgerloom.sources.ledger import AS_OF, Ledger, as_of, with_tables
+from ledgerloom.streaming import windows
 
 
 def upsert_tender(spark, sf_dir):
@@ -50,6 +54,16 @@ def hourly_ceiling(spark, sf_dir):
     return reconcile.paced(e, "ts", 5).select("event_id", "recent", "paused")
 
 
+def streamed_ceiling(spark, sf_dir):
+    """The events as a stream, each user's ceiling of four in a trailing day kept as state; a last row moves the watermark past all."""
+    o = Ledger(spark, sf_dir).observation.select("id", "seen_at", "portal_code")
+    end = o.agg(F.lit(-1).cast("long").alias("id"), (F.max("seen_at") + F.expr("INTERVAL 7 DAYS")).alias("seen_at"), F.lit(None).cast("string").alias("portal_code"))
+    events = Cut(o.unionByName(end))
+    stream = windows.sightings(spark, events.path, events.df.schema, files_per_batch=1_000_000)
+    judged = windows.run_to_table(windows.trailing_ceiling(stream, "portal_code", most=4, hours=24), "append", f"ceiling-{uuid.uuid4().hex}")
+    return judged.select("id", "portal_code", "recent", "paused")
+
+
 def collection_windows(spark, sf_dir):
     """Each portal's window: first day collected, last success (a purchase), last attempt, status, and display state."""
     o = Ledger(spark, sf_dir).observation
@@ -87,7 +101,7 @@ def held_urls(spark, sf_dir):
     return reconcile.reconcile_sets(p.where("page_id % 3 != 0").select("url"), p.where("page_id % 4 != 0").select("url"), ["url"])
 
 
-QUERIES = [upsert_tender, refresh_plan, identity_occurrence, version_history, changes_after_mark, hourly_ceiling, collection_windows, newest_window, freshness, run_counts, review_history, held_urls]
+QUERIES = [upsert_tender, refresh_plan, identity_occurrence, version_history, changes_after_mark, hourly_ceiling, streamed_ceiling, collection_windows, newest_window, freshness, run_counts, review_history, held_urls]
 
 _STATUS = f"CASE WHEN last_success_at IS NULL OR last_checked_at > last_success_at THEN 'failing' WHEN last_success_at < TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR THEN 'stale' ELSE 'collected' END"
 _WINDOWS = f", w AS (SELECT *, {_STATUS} AS status FROM (SELECT portal_code, CAST(min(seen_at) AS DATE) AS collecting_since, max(seen_at) FILTER (WHERE event_type = 'purchase') AS last_success_at, max(seen_at) AS last_checked_at FROM observation GROUP BY 1))"
@@ -117,6 +131,8 @@ FROM s FULL JOIN t ON s.document = t.document AND s.part = t.part AND s.value =
     "identity_occurrence": "SELECT n AS occurrence, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY l_suppkey, CAST(l_quantity AS BIGINT) ORDER BY l_orderkey * 10 + l_linenumber) - 1 AS n FROM lineitem) x GROUP BY x.n",
     "version_history": with_tables(f"{_VERSIONS} SELECT * FROM g", "observation"),
     "changes_after_mark": with_tables(f"{_VERSIONS} SELECT portal_code, count(*) AS changes FROM g WHERE id > 1000 GROUP BY 1", "observation"),
+    "streamed_ceiling": """SELECT event_id AS id, 'p' || user_id AS portal_code, least(n, 4) AS recent, n >= 4 AS paused FROM (
+  SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS n FROM events)""",
     "hourly_ceiling": "SELECT event_id, recent, recent >= 5 AS paused FROM (SELECT event_id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS recent FROM events)",
     "collection_windows": with_tables(f"{_WINDOWS} SELECT * FROM w", "observation"),
     "newest_window": with_tables(f"{_WINDOWS} SELECT right(portal_code, 1) AS state, portal_code, status FROM w QUALIFY row_number() OVER (PARTITION BY right(portal_code, 1) ORDER BY last_success_at DESC NULLS LAST, portal_code) = 1", "observation"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,40 @@ def first_sightings(stream: DataFrame, key: str, time: str = "seen_at", late: st
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def hourly_counts(stream: DataFrame, time: str = "seen_at", late: str = "1 hour", most: int = 200) -> DataFrame:
-    """Requests of each hour and whether they reach the ceiling."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, "1 hour").alias("hour")).agg(F.count("*").alias("requests")).withColumn("paused", F.col("requests") >= most)
+def trailing_ceiling(stream: DataFrame, key: str, time: str = "seen_at", most: int = 200, hours: int = 1, late: str = "1 hour") -> DataFrame:
+    """Requests (key, id, time) with how many of the same key came in the trailing hours before them, and whether that pauses the intake.
+
+    A request is judged once the watermark has passed it, so that those which come late but within the watermark count in
+    their place; equal times don't count for each other. The count stops at the ceiling ("at least"), so that a key holds
+    its last ``most`` judged times and the requests not yet judged, no more. A key that is silent for the span loses its
+    state. Requests later than the watermark, and those without a time, are dropped by the engine or never judged.
+    """
+    span = hours * 3_600_000_000
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        judged, ids, times = (np.asarray(v, dtype="int64") for v in (state.get if state.exists else ([], [], [])))
+        if not state.hasTimedOut:
+            rows = pd.concat([b[["id", "_micros"]] for b in batches])
+            ids, times = np.concatenate([ids, rows["id"].to_numpy("int64")]), np.concatenate([times, rows["_micros"].to_numpy("int64")])
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = times <= mark
+        known = np.sort(np.concatenate([judged, times[ready]]))
+        now = times[ready]
+        recent = np.minimum(np.searchsorted(known, now) - np.searchsorted(known, now - span), most)
+        judged, out = known[known > mark - span][-most:], pd.DataFrame({key: group[0], "id": ids[ready], "_micros": now, "recent": recent})
+        ids, times = ids[~ready], times[~ready]
+        if not len(times) and not len(judged):
+            state.remove()
+        else:
+            state.update((judged.tolist(), ids.tolist(), times.tolist()))
+            wake = times.min() if len(times) else judged.max() + span
+            state.setTimeoutTimestamp(int(max(wake, mark) // 1000) + 1)
+        yield out
+
+    kind = stream.schema[key].dataType.simpleString()
+    timed = stream.where(F.col(time).isNotNull()).select(key, "id", F.col(time).cast("timestamp").alias(time)).withColumn("_micros", F.unix_micros(time)).withWatermark(time, late)
+    counted = timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, id bigint, _micros bigint, recent bigint", "judged array<bigint>, ids array<bigint>, times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return counted.select(key, "id", F.timestamp_micros("_micros").alias(time), "recent", (F.col("recent") >= most).alias("paused"))
 
 
 def superseded(stream: DataFrame, tracked: str = "stated") -> DataFrame:
