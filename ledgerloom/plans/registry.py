@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import actuals, boundaries, corrections, documents, facts, finance, history, listings, mentions, notices, pages, placement, places, records, tenders
+from ledgerloom.plans import actuals, boundaries, corrections, documents, facts, finance, history, listings, mentions, notices, outlines, pages, placement, places, records, tenders
 
-MODULES: tuple[ModuleType, ...] = (tenders, finance, history, documents, places, pages, notices, mentions, records, facts, corrections, boundaries, actuals, listings, placement)
+MODULES: tuple[ModuleType, ...] = (tenders, finance, history, documents, places, pages, notices, mentions, records, facts, corrections, boundaries, actuals, listings, placement, outlines)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
