@@ -209,6 +209,10 @@ def _confirm_squares(pairs: DataFrame, texts: DataFrame, size: int, percent: int
     return pairs.groupBy(*square).cogroup(wanted.groupBy("key_t", "square_x_t", "square_y_t")).applyInArrow(_confirmed_square(size, percent), "a bigint, b bigint")
 
 
+#: Squares on each side of a region.
+_SIDES = f"cast(greatest(ceil(n / {PAIRED_ROWS}), ceil(shingles / {PAIRED_SHINGLES})) AS int)"
+
+
 def _near(x: str, y: str, most_bits: int, percent: int) -> str:
     """Whether the sizes (exactly) and the sketches of two classes allow a link, in SQL."""
     far = " + ".join(f"bit_count({x.format(bits)} ^ {y.format(bits)})" for bits in ("bits_a", "bits_b"))
@@ -216,11 +220,11 @@ def _near(x: str, y: str, most_bits: int, percent: int) -> str:
     return f"100 * least({sizes}) >= {percent} * greatest({sizes}) AND {far} <= {most_bits}"
 
 
-def _regions(forest: DataFrame, of: DataFrame, least: int) -> DataFrame:
+def _regions(forest: DataFrame, of: DataFrame, least: int, hold) -> DataFrame:
     """The rows of regions that hold more than one component: key, n (its classes), shingles (of all), id, sketch, size, of (the component).
 
     Regions share ``least`` values of a tree; those of more than CROWD classes are deepened until they are smaller or
-    share DEPTH values.
+    share DEPTH values. ``hold`` cuts the rows of each depth.
     """
     sketch = ["bits_a", "bits_b", "size"]
     rows = forest.join(of, "id", "left").select("tree", "prefix", "id", *sketch, F.coalesce("component", "id").alias("of"))
@@ -228,7 +232,7 @@ def _regions(forest: DataFrame, of: DataFrame, least: int) -> DataFrame:
     for depth in range(least, DEPTH + 1):
         keyed = rows.withColumn("key", F.expr(f"xxhash64(tree, {depth}, substring(prefix, 1, {2 * depth}))"))
         totals = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("of").alias("low"), F.max("of").alias("high"))
-        held = cut(keyed.join(totals.where("low < high").select("key", "n", "shingles"), "key"))
+        held = hold(keyed.join(totals.where("low < high").select("key", "n", "shingles"), "key"))
         done = held if depth == DEPTH else held.where(f"n <= {CROWD}")
         settled = done if settled is None else settled.unionByName(done)
         rows = held.where(f"n > {CROWD}").select("tree", "prefix", "id", *sketch, "of")
@@ -237,14 +241,23 @@ def _regions(forest: DataFrame, of: DataFrame, least: int) -> DataFrame:
     return settled.select("key", "n", "shingles", "id", *sketch, "of")
 
 
-def _inside(forest: DataFrame, of: DataFrame, least: int, most_bits: int, percent: int) -> DataFrame:
+def _still_apart(regions: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of ``regions`` with newer components, without the regions that are one component by now.
+
+    Components only grow, so these are the rows that _regions would find again.
+    """
+    rows = regions.drop("of").join(of, "id", "left").withColumn("of", F.coalesce("component", "id")).drop("component")
+    apart = rows.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("key")
+    return rows.join(apart, "key", "left_semi")
+
+
+def _inside(regions: DataFrame, most_bits: int, percent: int) -> DataFrame:
     """All pairs (a, b) of classes of a region that lie in different components and may be alike, each in one square.
 
     A region of one component makes no pairs; the rows of the others meet in squares, so that a large region is many
     tasks' work.
     """
-    sides = f"cast(greatest(ceil(n / {PAIRED_ROWS}), ceil(shingles / {PAIRED_SHINGLES})) AS int)"
-    sized = _regions(forest, of, least).withColumn("sides", F.expr(sides)).withColumn("own", F.expr("cast(pmod(xxhash64(id), sides) AS int)"))
+    sized = regions.withColumn("sides", F.expr(_SIDES)).withColumn("own", F.expr("cast(pmod(xxhash64(id), sides) AS int)"))
     names = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", "bits_a", "bits_b", "size", "of")]
     left = sized.select("key", F.col("own").alias("square_x"), *names("x"))
     right = sized.select("key", F.explode(F.expr("sequence(0, sides - 1)")).alias("square_x"), F.col("own").alias("square_y"), *names("y"))
@@ -256,12 +269,16 @@ def _inside(forest: DataFrame, of: DataFrame, least: int, most_bits: int, percen
 def _hubs(regions: DataFrame, links: DataFrame, most_bits: int, percent: int) -> DataFrame:
     """Pairs (a, b) of every class of a region with the region's hub, the class of most links, where components differ and a link may be.
 
-    Copies of one original are often alike with it and not with each other: a pair a class links them.
+    Copies of one original are often alike with it and not with each other: a pair a class links them. Each pair has a
+    square of its region (key, square_x, square_y) and ``large``, whether the region has several, so that a large region's
+    hub goes along once a square.
     """
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     hub = regions.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "bits_a", "bits_b", "size", "of"), F.struct("links", -F.col("id"))).alias("hub"))
     near = F.expr(f"of != hub.of AND {_near('{}', 'hub.{}', most_bits, percent)}")
-    return regions.join(hub, "key").where(near).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    met = regions.join(hub, "key").where(near).withColumn("sides", F.expr(_SIDES))
+    square = F.struct((F.col("sides") > 1).alias("large"), "key", F.expr("cast(pmod(xxhash64(id), sides) AS int)").alias("square_x"), F.lit(0).alias("square_y"))
+    return met.groupBy(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).agg(F.min(square).alias("at")).select("a", "b", "at.*")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,12 +287,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    cuts: list[Cut] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        """Cut, until the components are written."""
+        cuts.append(Cut(df))
+        return cuts[-1].df
+
     signed = Cut(texts.mapInArrow(_signatures(shingle_words), "id bigint, n_shingles bigint, set_a bigint, set_b bigint, bits_a bigint, bits_b bigint, signature binary")).df
     members = signed.select("id", "n_shingles", "set_a", "set_b")
     leaders = members.where("n_shingles > 0 AND id IS NOT NULL").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("id"), F.count("*").alias("n_rows"))
-    classes = signed.join(leaders, ["n_shingles", "set_a", "set_b", "id"], "left_semi").select("id", "bits_a", "bits_b", "signature", "n_shingles")
+    classes = hold(signed.join(leaders, ["n_shingles", "set_a", "set_b", "id"], "left_semi").select("id", "bits_a", "bits_b", "signature", "n_shingles"))
 
-    many = leaders.count()
+    many = classes.count()
     least = min(DEPTH, max(3, math.ceil(math.log(max(2, many)) / math.log(16))))
     differ = (1 - percent / 100) / 2  # chance that a sketch bit differs at the threshold
     most_bits = math.ceil(VALUES * differ + SKETCH_SIGMAS * math.sqrt(VALUES * differ * (1 - differ)))
@@ -283,25 +307,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), many * TREES // 2_000_000)
     forest = classes.mapInArrow(_plant, "tree int, prefix binary, id bigint, bits_a bigint, bits_b bigint, size bigint")
     lined = forest.repartitionByRange(ranges, "tree", "prefix", "id").sortWithinPartitions("tree", "prefix", "id")
-    candidates = Cut(lined.mapInArrow(_neighbours(least, most_bits), "a bigint, b bigint, far int").where("a < b").groupBy("a", "b").agg(F.min("far").alias("far"))).df
+    candidates = hold(lined.mapInArrow(_neighbours(least, most_bits), "a bigint, b bigint, far int").where("a < b").groupBy("a", "b").agg(F.min("far").alias("far")))
 
     nearest = candidates.groupBy("b").agg(F.min(F.struct("far", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
-    first = Cut(_confirm(nearest, texts, shingle_words, percent)).df
-    of = Cut(connected_components(first)).df
+    first = hold(_confirm(nearest, texts, shingle_words, percent))
+    of = hold(connected_components(first))
     named = lambda side: of.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
     open_pairs = candidates.join(nearest, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
     apart = open_pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     second = _confirm(apart, texts, shingle_words, percent)
-    linked = Cut(first.unionByName(second)).df
-    joined = Cut(connected_components(linked)).df
-    hubs = Cut(_hubs(_regions(forest, joined, least), linked, most_bits, percent).join(candidates.select("a", "b"), ["a", "b"], "left_anti")).df
-    linked = Cut(linked.unionByName(_confirm(hubs, texts, shingle_words, percent))).df
-    joined = Cut(connected_components(linked)).df
-    hidden = Cut(_inside(forest, joined, least, most_bits, percent).join(candidates.select("a", "b"), ["a", "b"], "left_anti")).df
+    linked = hold(first.unionByName(second))
+    regions = hold(_regions(forest, hold(connected_components(linked)), least, hold))
+    hubs = hold(_hubs(regions, linked, most_bits, percent).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
+    few, large = hubs.where("NOT large").select("a", "b"), hubs.where("large").drop("large")
+    by_hub = _confirm(few, texts, shingle_words, percent).unionByName(_confirm_squares(large, texts, shingle_words, percent))
+    linked = hold(linked.unionByName(by_hub))
+    apart = _still_apart(regions, hold(connected_components(linked)))
+    hidden = hold(_inside(apart, most_bits, percent).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
     components = connected_components(linked.unionByName(_confirm_squares(hidden, texts, shingle_words, percent)))
 
     # a class has one row here, so no key is hot; the rows of large classes meet their leader without a shuffle
     named = cut(leaders.join(components, "id", "left").select("n_shingles", "set_a", "set_b", F.col("id").alias("leader"), "component", "n_rows"))
+    for done in cuts:  # the result reads signed and named alone
+        done.drop()
     of_class = ["n_shingles", "set_a", "set_b"]
     hot = named.where(f"n_rows > {HOT_ROWS}").drop("n_rows")
     if hot.limit(HOT_CLASSES + 1).count() <= HOT_CLASSES:
