@@ -12,6 +12,8 @@ from ledgerloom.functions import text
 SUFFIX = {"district": "district", "sub_district": "taluka"}
 TRUST = {"district": 0.8, "sub_district": 0.7}
 SHORTEST = 4
+#: Names of a gazetteer beyond which the runs are shuffled to them.
+BROADCAST_NAMES = 200_000
 
 
 def unambiguous(entries: DataFrame) -> DataFrame:
@@ -40,14 +42,17 @@ def parse_place_value(value: F.Column) -> F.Column:
 
 def places_in(pages: DataFrame, gazetteer: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, value, sentence, confidence): each place once a page, at its first sentence; longer names claim their words first."""
-    parts = pages.select(F.col(id_col).alias("id"), F.posexplode(text.sentences(F.col(text_col))).alias("sentence", "_s"))
+    parts = pages.repartition(id_col).select(F.col(id_col).alias("id"), F.posexplode(text.sentences(F.col(text_col))).alias("sentence", "_s"))
     words = parts.select("id", "sentence", F.transform(F.split("_s", " "), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("_w"))
     starts = F.transform("_w", lambda w, i: i)
     # a page's runs are as long as the names are: only lengths that occur are built
-    lengths = sorted(r[0] for r in gazetteer.select(F.size(F.split("name", " "))).distinct().collect()) or [1]
+    counted = dict(gazetteer.groupBy(F.size(F.split("name", " "))).count().collect())
+    lengths = sorted(counted) or [1]
     runs = F.flatten(F.transform(F.lit(lengths), lambda n: F.transform(F.filter(starts, lambda i: i + n <= F.size("_w")), lambda i: F.struct(F.array_join(F.slice("_w", i + 1, n), " ").alias("run"), i.alias("at"), (i + n).alias("end")))))
     each = words.select("id", "sentence", F.explode(runs).alias("r")).select("id", "sentence", "r.run", "r.at", "r.end").where("run != ''")
     names = gazetteer.select("name", "level", F.explode(F.array_distinct(F.array(F.col("name"), F.upper("name")))).alias("run"))
+    # the optimizer takes the runs for as small as the pages and would send them all to every task: it is the names that go, if they are few
+    names, each = (F.broadcast(names), each) if sum(counted.values()) <= BROADCAST_NAMES else (names, each.hint("merge"))
     hits = each.join(names, "run").groupBy("id", "sentence").agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("size"), "at", "end", "name", "level"))).alias("h"))
     none = F.expr("cast(array() AS array<struct<size: int, at: int, end: int, name: string, level: string>>)")
     free = F.aggregate("h", none, lambda acc, x: F.when(F.exists(acc, lambda y: (y["at"] < x["end"]) & (y["end"] > x["at"])), acc).otherwise(F.array_append(acc, x)))
