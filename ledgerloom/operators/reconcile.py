@@ -16,9 +16,9 @@ def changed(a: str, b: str, columns: list[str]) -> Column:
     return ~F.struct(*[F.col(f"{a}.{c}") for c in columns]).eqNullSafe(F.struct(*[F.col(f"{b}.{c}") for c in columns]))
 
 
-def numbered(rows: DataFrame, identity: list[str], order: str) -> DataFrame:
-    """Rows with _n, the how-manieth of its identity each one is, from 0, by the order column."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*identity).orderBy(order)) - 1)
+def numbered(rows: DataFrame, identity: list[str], *order: str) -> DataFrame:
+    """Rows with _n, the how-manieth of its identity each one is, from 0, by the order columns."""
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*identity).orderBy(*order)) - 1)
 
 
 def first_of_each(rows: DataFrame, identity: list[str], *order: Column) -> DataFrame:
@@ -55,9 +55,10 @@ def upsert(held: DataFrame, read: DataFrame, key: list[str], overwrite: list[str
 def refresh_plan(source: DataFrame, target: DataFrame, identity: list[str], carried: list[str], decided: Column, order: str = "id") -> DataFrame:
     """One row an identity and occurrence with its action: insert, update, keep, retire, or stranded (decided, but gone from the source).
 
-    ``decided`` is a condition over the target's columns. Applied to its own result, the plan is all keep.
+    ``decided`` is a condition over the target's columns. Applied to its own result, the plan is all keep. Occurrences of
+    one identity and order come in the order of their carried values, so that the plan is the same at every run.
     """
-    s, t = numbered(source, identity, order).alias("s"), numbered(target.withColumn("_decided", decided), identity, order).alias("t")
+    s, t = (numbered(rows, identity, order, *carried).alias(a) for rows, a in ((source, "s"), (target.withColumn("_decided", decided), "t")))
     on = F.col("s._n") == F.col("t._n")
     for c in identity:
         on = on & F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))

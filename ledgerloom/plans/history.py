@@ -123,8 +123,8 @@ SQL = {
     "upsert_tender": with_tables(f"{_UPSERT} SELECT * FROM u", "tender"),
     "run_counts": with_tables(f"{_UPSERT} SELECT count(*) AS seen, count(*) FILTER (WHERE _status = 'inserted') AS inserted, count(*) FILTER (WHERE _status = 'updated') AS updated, count(*) FILTER (WHERE _status = 'unchanged') AS unchanged, count(*) FILTER (WHERE _status = 'kept') AS kept FROM u", "tender"),
     "refresh_plan": """WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 1000 AS document, l_partkey AS part, CAST(l_quantity AS BIGINT) AS value, l_returnflag, l_linestatus FROM lineitem),
-s AS (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN 'X' ELSE l_linestatus END AS l_linestatus), CAST(row_number() OVER (PARTITION BY document, part, value ORDER BY id) - 1 AS INTEGER) AS n FROM f WHERE id % 7 != 0),
-t AS (SELECT *, CAST(row_number() OVER (PARTITION BY document, part, value ORDER BY id) - 1 AS INTEGER) AS n FROM f WHERE id % 5 != 0)
+s AS (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN 'X' ELSE l_linestatus END AS l_linestatus), CAST(row_number() OVER (PARTITION BY document, part, value ORDER BY id, l_returnflag, l_linestatus) - 1 AS INTEGER) AS n FROM f WHERE id % 7 != 0),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY document, part, value ORDER BY id, l_returnflag, l_linestatus) - 1 AS INTEGER) AS n FROM f WHERE id % 5 != 0)
 SELECT coalesce(s.document, t.document) AS document, coalesce(s.part, t.part) AS part, coalesce(s.value, t.value) AS value, coalesce(s.n, t.n) AS occurrence, s.id AS source_id, t.id AS target_id,
   CASE WHEN t.id IS NULL THEN 'insert' WHEN s.id IS NULL THEN CASE WHEN t.l_returnflag = 'R' THEN 'stranded' ELSE 'retire' END WHEN s.l_returnflag IS DISTINCT FROM t.l_returnflag OR s.l_linestatus IS DISTINCT FROM t.l_linestatus THEN 'update' ELSE 'keep' END AS action
 FROM s FULL JOIN t ON s.document = t.document AND s.part = t.part AND s.value = t.value AND s.n = t.n""",
