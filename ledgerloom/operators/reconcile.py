@@ -94,14 +94,17 @@ def reconcile_sets(wanted: DataFrame, held: DataFrame, key: list[str]) -> DataFr
 def paced(requests: DataFrame, at: str, most: int, hours: int = 1) -> DataFrame:
     """Requests with how many came in the trailing hours before them, and whether intake was paused by then.
 
-    The count needs every request of the span, so it is a range window over hour-sized partitions: each
-    request is copied to its own hour and the next, and counted in the hour that it belongs to.
+    The count needs every request of the span, so each request is copied to its own hour and the next, and judged in the
+    hour that it belongs to. Copies stand a span later, where they leave the trailing hour: what is counted is the hour's own
+    requests so far and the copies that haven't left yet. These are running counts, so a crowded hour costs no more a request.
     """
     span = 3600 * hours
     second = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
     slot = F.floor(second / span)
     marked = requests.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_slot", slot)
-    spread = marked.withColumn("_in", F.explode(F.array(F.col("_slot"), F.col("_slot") + 1)))
-    w = W.partitionBy("_in").orderBy("_t").rangeBetween(-span * 1_000_000, -1)
-    counted = spread.withColumn("recent", F.count("*").over(w)).where("_in = _slot")
-    return counted.withColumn("paused", F.col("recent") >= most).drop("_t", "_slot", "_in")
+    spread = marked.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_in", F.col("_slot") + F.col("_copy")).withColumn("_t", F.col("_t") + F.col("_copy") * (span * 1_000_000))
+    hour = W.partitionBy("_in")
+    before = hour.orderBy("_t").rangeBetween(W.unboundedPreceding, -1)
+    so_far = F.count(F.when(F.col("_copy") == 0, 1)).over(before) - F.count(F.when(F.col("_copy") == 1, 1)).over(before)
+    counted = spread.withColumn("recent", so_far + F.sum("_copy").over(hour)).where("_copy = 0 AND _slot IS NOT NULL")
+    return counted.withColumn("paused", F.col("recent") >= most).drop("_t", "_slot", "_in", "_copy")
