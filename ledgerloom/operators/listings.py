@@ -40,7 +40,7 @@ def leading_date(text: Column) -> Column:
 
 
 def _structure(pages: DataFrame) -> DataFrame:
-    read = markup.bound(pages.withColumn("read", tables.structure("html")), ["page_id"], read=F.col("read"))
+    read = markup.bound(tables.bounded(pages).withColumn("read", tables.structure("html")), ["page_id"], read=F.col("read"))
     return read.select("page_id", "read.rows", "read.links")
 
 
