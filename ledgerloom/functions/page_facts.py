@@ -7,15 +7,17 @@ offsets; reading, refusing and weighing what was found are Column functions. Off
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions import facts, money, page_geometry, text
+from ledgerloom.functions import facts, markup, money, page_geometry, text
 from ledgerloom.operators.reconcile import first_of_each
+from ledgerloom.session import cut
 
 # Characters that stored text can't hold, and what makes the scale of a bare figure unusable.
 UNSTORABLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
@@ -70,31 +72,53 @@ _FOUND = T.ArrayType(
 )
 
 
-@F.pandas_udf(_FOUND)
-def located_matches(pages: pd.Series) -> pd.Series:
-    """All pattern matches in a page's sentences: their place in the sentence and, white space undone, in the page."""
-    patterns = [(kind, re.compile(p.replace("(?U)", ""))) for kind, p in _KINDS]
-    breaks = re.compile(text.SENTENCE_BREAK)
-
-    def of(page: str | None) -> list[dict]:
-        out: list[dict] = []
-        runs = list(re.finditer(r"\s+|\S+", page or ""))
-        flat = "".join(" " if m[0][0].isspace() else m[0] for m in runs)
-        source = [i for m in runs for i in (range(m.start(), m.end()) if not m[0][0].isspace() else (m.start(),))]
-        cursor = 0
-        for m in [*breaks.finditer(flat), None]:
-            start, end = cursor, m.start() if m else len(flat)
-            cursor = m.end() if m else end
-            sentence = flat[start:end].strip()
-            lead = start + len(flat[start:end]) - len(flat[start:end].lstrip())
-            for kind, pattern in patterns if sentence else ():
+# What a sentence must hold, in part, for a pattern to match.
+_HINTS = {"amount": ("₹", "Rs"), "decoded_amount": ("`", "´"), "contractor_reference": ("M/s",), "officer_role_reference": ("Engineer", "Collector", "Secretary"), "department": ("Department",), "government": ("Government",)}
+_ARROW_FOUND = pa.list_(pa.struct([(n, pa.int32() if n in ("at", "to", "char_start", "char_end") else pa.string()) for n in ("kind", "sentence", "at", "to", "first", "second", "char_start", "char_end")]))
+#: Characters of pages whose matches are objects at once.
+CHUNK_CHARS = 1 << 20
+
+
+def _matches(page: str, patterns: list, breaks: re.Pattern) -> list[dict]:
+    out: list[dict] = []
+    # where white space becomes one space, in the flat text, and how many characters are gone after it
+    places, gone, flat, end = [], [0], [], 0
+    for m in re.finditer(r"\s(?:\s+|(?<! ))", page):
+        flat += (page[end : m.start()], " ")
+        places.append(m.start() - gone[-1])
+        gone.append(gone[-1] + m.end() - m.start() - 1)
+        end = m.end()
+    flat = "".join([*flat, page[end:]])
+    source = lambda at: at + gone[bisect_left(places, at)]
+    cursor = 0
+    for m in [*breaks.finditer(flat), None]:
+        start, end = cursor, m.start() if m else len(flat)
+        cursor = m.end() if m else end
+        sentence = flat[start:end].strip()
+        lead = start + len(flat[start:end]) - len(flat[start:end].lstrip())
+        for kind, pattern in patterns if sentence else ():
+            if any(h in sentence for h in _HINTS[kind]):
                 for x in pattern.finditer(sentence):
                     if x.end() > x.start():
                         groups = (*x.groups(), None)
-                        out.append({"kind": kind, "sentence": sentence, "at": x.start(), "to": x.end(), "first": groups[0], "second": groups[1], "char_start": source[lead + x.start()], "char_end": source[lead + x.end() - 1] + 1})
-        return out
+                        out.append({"kind": kind, "sentence": sentence, "at": x.start(), "to": x.end(), "first": groups[0], "second": groups[1], "char_start": source(lead + x.start()), "char_end": source(lead + x.end() - 1) + 1})
+    return out
 
-    return pages.map(of)
+
+@F.arrow_udf(_FOUND)
+def located_matches(pages: pa.Array) -> pa.Array:
+    """All pattern matches in a page's sentences: their place in the sentence and, white space undone, in the page."""
+    patterns = [(kind, re.compile(p.replace("(?U)", ""))) for kind, p in _KINDS]
+    breaks = re.compile(text.SENTENCE_BREAK)
+    done, chunk, chars = [], [], 0
+    for page in pages:
+        one = page.as_py() or ""
+        chunk.append(_matches(one, patterns, breaks))
+        chars += len(one)
+        if chars >= CHUNK_CHARS:
+            done.append(pa.array(chunk, _ARROW_FOUND))
+            chunk, chars = [], 0
+    return pa.concat_arrays([*done, pa.array(chunk, _ARROW_FOUND)])
 
 
 def candidates(pages: DataFrame, document: str = "document_id", page: str = "page_number", raw: str = "content", items: str | None = None) -> DataFrame:
@@ -104,7 +128,7 @@ def candidates(pages: DataFrame, document: str = "document_id", page: str = "pag
     An amount after a column's heading ("amount in ₹") is none. A bare figure is refused on a page that declares a unit and
     where its scale is unusable. Bodies are proposed once a document, at the first page that names them.
     """
-    rows = pages.withColumn("_clean", cleaned(F.col(raw))).withColumn("_text", F.col("_clean")["content"])
+    rows = markup.bound(pages, [document, page, *([items] if items else [])], _clean=cleaned(F.col(raw))).withColumn("_text", F.col("_clean")["content"])
     rows = rows.select(document, page, *(["_clean", items] if items else []), text.declares_unit(F.col("_text")).alias("_declares"), text.lost_its_mark(F.col("_text")).alias("_lost"), located_matches("_text").alias("_found"))
     each = rows.withColumn("_boxes", moved_items(F.col(items), F.col("_clean"))) if items else rows
     each = each.select(document, page, *(["_boxes"] if items else []), "_declares", "_lost", F.posexplode("_found").alias("_place", "m")).select("*", "m.*").drop("m", "_found")
@@ -120,7 +144,7 @@ def candidates(pages: DataFrame, document: str = "document_id", page: str = "pag
         .when(F.col("kind") == "officer_role_reference", F.concat_ws(", ", "first", office))
         .when(F.col("kind") == "department", facts.department_name(F.col("first"))).otherwise(F.concat(F.lit("Government of "), F.col("first")))
     )
-    read = each.withColumn("normalised_value", value).where(amount | F.col("normalised_value").isNotNull())
+    read = markup.bound(each, each.columns, normalised_value=value).where(amount | F.col("normalised_value").isNotNull())
     stated = F.when(~bare, 0.8).when(F.col("normalised_value").isNull(), 0.4).otherwise(0.6)
     sure = F.when(F.col("kind") == "amount", stated).when(F.col("kind") == "decoded_amount", F.when(bare, 0.3).otherwise(0.5)).when(F.col("kind") == "contractor_reference", 0.7).otherwise(0.5)
     kind = F.when(amount, "monetary_amount").when(F.col("kind").isin("department", "government"), "body_reference").otherwise(F.col("kind"))
@@ -128,5 +152,6 @@ def candidates(pages: DataFrame, document: str = "document_id", page: str = "pag
         document, page, kind.alias("kind"), text.context_around(F.col("sentence"), F.col("at"), F.col("to")).alias("raw_text"), "normalised_value", sure.cast("decimal(4,3)").alias("confidence"),
         "char_start", "char_end", *([page_geometry.box_around(F.col("_boxes"), F.col("char_start"), F.col("char_end")).alias("box")] if items else []), "_place",
     )
+    out = cut(out)  # bodies and other candidates are taken from one reading of the pages
     bodies = first_of_each(out.where("kind = 'body_reference'"), [document, "normalised_value"], F.asc(page), F.asc("_place"))
     return reduce(DataFrame.unionByName, (out.where("kind != 'body_reference'"), bodies)).drop("_place")
