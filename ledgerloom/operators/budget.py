@@ -34,10 +34,12 @@ def _stated(cell: Column) -> Column:
 
 def parse(exports: DataFrame) -> DataFrame:
     """exports: export_id, html. Adds rows (cells), fiscal_year, at (the header's row, from 0), header (normalised) and refusal."""
-    read = exports.select("export_id", markup.rows_by_split(F.col("html")).alias("rows"))
-    stated = read.select("*", F.regexp_extract(_line(F.col("rows"), "financial year"), "([0-9]{4})", 1).try_cast("int").alias("fiscal_year"), _line(F.col("rows"), "amounts in").alias("unit"), F.transform("rows", lambda r: F.array_contains(r, "DEPT")).alias("heads"))
-    placed = stated.withColumn("at", (F.array_position("heads", F.lit(True)) - 1).cast("int")).drop("heads")
-    headed = placed.withColumn("header", F.transform(F.get("rows", F.when(F.col("at") >= 0, F.col("at"))), column_name))
+    read = markup.bound(exports, ["export_id"], rows=markup.rows_by_split(F.col("html")))
+    stated = markup.bound(
+        read, ["export_id", "rows"], fiscal_year=F.regexp_extract(_line(F.col("rows"), "financial year"), "([0-9]{4})", 1).try_cast("int"), unit=_line(F.col("rows"), "amounts in"),
+        at=(F.array_position(F.transform("rows", lambda r: F.array_contains(r, "DEPT")), F.lit(True)) - 1).cast("int"),
+    )
+    headed = markup.bound(stated, stated.columns, header=F.transform(F.get("rows", F.when(F.col("at") >= 0, F.col("at"))), column_name))
     needed = F.array(*[column_name(F.lit(c)) for c in REQUIRED])
     refusal = (
         F.when(F.col("fiscal_year").isNull(), "year_not_stated")
@@ -45,7 +47,7 @@ def parse(exports: DataFrame) -> DataFrame:
         .when(F.col("header").isNull(), "no_header")
         .when(F.size(F.array_except(needed, F.col("header"))) > 0, "missing_columns")
     )
-    return headed.withColumn("refusal", refusal).drop("unit")
+    return markup.bound(headed, ["export_id", "rows", "fiscal_year", "at", "header"], refusal=refusal)
 
 
 def figures(parsed: DataFrame) -> DataFrame:
@@ -56,11 +58,13 @@ def figures(parsed: DataFrame) -> DataFrame:
     """
     sound = parsed.where("refusal IS NULL")
     place = lambda name: F.array_position("header", column_name(F.lit(name))).cast("int")
-    sound = sound.withColumn("last", F.greatest(*[place(c) for c in REQUIRED]))
-    each = sound.select("export_id", "fiscal_year", "header", "last", F.posexplode(F.expr("slice(rows, at + 2, size(rows))")).alias("place", "cells")).where("size(cells) >= last")
-    cell = lambda name: F.get("cells", F.nullif(place(name), F.lit(0)) - 1)
-    rows = each.select("export_id", "fiscal_year", "place", *[_stated(cell(c)).alias(n) for n, c in (COORDINATES | TEXTS).items()], *[money.to_rupees(money.published_to_paise(cell(c), "thousands")["paise"]).alias(n) for n, c in AMOUNTS.items()])
+    columns = COORDINATES | TEXTS | AMOUNTS
+    sound = markup.bound(sound, ["export_id", "fiscal_year", "rows", "at"], last=F.greatest(*[place(c) for c in REQUIRED]), places=F.struct(*[F.nullif(place(c), F.lit(0)).alias(n) for n, c in columns.items()]))
+    each = sound.select("export_id", "fiscal_year", "places", "last", F.posexplode(F.expr("slice(rows, at + 2, size(rows))")).alias("place", "cells")).where("size(cells) >= last")
+    cell = lambda name: F.get("cells", F.col(f"places.{name}") - 1)
+    rows = markup.bound(each, ["export_id", "fiscal_year", "place", "places", "cells"], **{n: _stated(cell(n)) for n in COORDINATES | TEXTS})
     rows = rows.where(" AND ".join(f"{n} IS NOT NULL" for n in COORDINATES))
+    rows = rows.select("export_id", "fiscal_year", "place", *COORDINATES, *TEXTS, *[money.to_rupees(money.published_to_paise(cell(n), "thousands")["paise"]).alias(n) for n in AMOUNTS])
     return rows.withColumn("name_en", F.coalesce("name_en", "name_short")).drop("name_short")
 
 
