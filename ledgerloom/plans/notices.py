@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import facts, notices, text
+from ledgerloom.functions import facts, markup, notices, text
 from ledgerloom.operators import gazetteer, robots
 from ledgerloom.sources.ledger import Ledger, with_tables
 
@@ -15,7 +15,7 @@ def notice_fields(spark, sf_dir):
     value = (F.col("tender_value_paise") / F.lit(100).cast("decimal(3,0)")).cast("decimal(20,2)").cast("string")
     when = F.date_format("first_seen_at", "dd-MMM-yyyy")
     page = F.concat(F.lit("Tender Reference Number "), F.col("title"), F.lit("\nTender ID 2026_"), F.upper("portal_code"), F.lit("_"), F.col("id"), F.lit("_1\nTender Value in ₹ "), value, F.lit("\nPublish Date "), when, F.lit(" 05:30 AM Financial Bid Opening Date "), when, F.lit(" 12:00 PM"))
-    rows = t.select("id", F.explode(notices.readings(page)).alias("r"))
+    rows = markup.bound(t.repartition("id"), ["id"], page=page).select("id", F.explode(notices.readings(F.col("page"))).alias("r"))
     return rows.select("id", "r.field", "r.kind", "r.value", "r.confidence")
 
 
@@ -27,7 +27,8 @@ def letter_fields(spark, sf_dir):
     number = F.concat(F.lit("\nE-Tender Notice No. "), (F.col("o_orderkey") % 100).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " (2026 - 2027)").otherwise(" OF 2023-24"))
     reference = F.concat(F.lit("\nNo. MSIDC/Mumbai/ "), F.col("o_custkey").cast("string"), F.lit(" /2026"), F.when(F.col("o_orderkey") % 5 == 0, " ( 2nd Call )").otherwise(" Sd/-"))
     page = F.concat(page, number, reference)
-    rows = o.select(F.col("o_orderkey").alias("id"), F.explode(notices.readings(page)).alias("r"))
+    pages = markup.bound(o.repartition("o_orderkey"), ["o_orderkey"], page=page)
+    rows = pages.select(F.col("o_orderkey").alias("id"), F.explode(notices.readings(F.col("page"))).alias("r"))
     return rows.select("id", "r.field", "r.value", "r.confidence")
 
 
