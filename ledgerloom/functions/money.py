@@ -32,11 +32,13 @@ def shifted_to_paise(raw: Column, shift: Column | int) -> Column:
         """p: text, and whether it is a figure; a bound name, so that the text is made and matched once."""
         text, absent = p["text"], p["text"].isNull() | F.upper(p["text"]).isin(*{a.upper() for a in ABSENT})
         fraction = F.when(F.contains(text, F.lit(".")), F.substring_index(text, ".", -1)).otherwise("")
-        digits = F.concat(F.substring_index(text, ".", 1), F.rpad(fraction, shift, "0"))
+        digits = F.concat_ws("", F.substring_index(text, ".", 1), F.rpad(fraction, shift, "0"))  # concat works its type out anew for every value here
         fine, long = F.length(fraction) <= shift, F.length(F.ltrim(F.ltrim(digits, F.lit("-")), F.lit("0"))) > _MOST_DIGITS
         refusal = F.when(absent, None).when(~p["figure"], "not an amount").when(~fine, "sub-paise precision").when(long, "too many digits")
         paise = F.when(~absent & p["figure"] & fine & ~long, digits.try_cast(PAISE))
-        return F.struct(paise.alias("paise"), refusal.alias("refusal"))
+        known = F.struct(digits.try_cast(PAISE).alias("paise"), F.lit(None).cast("string").alias("refusal"))
+        # most figures are read by this alone; the rest is worked out for those that may be refused
+        return F.when(p["figure"] & fine & (F.length(text) + shift <= _MOST_DIGITS), known).otherwise(F.struct(paise.alias("paise"), refusal.alias("refusal")))
 
     plain = F.transform(F.array(F.replace(F.trim(raw), F.lit(","), F.lit(""))), lambda t: F.struct(t.alias("text"), t.rlike(r"^-?[0-9]+(\.[0-9]+)?$").alias("figure")))
     return F.element_at(F.transform(plain, read), 1)
@@ -81,8 +83,8 @@ def parse_decimal(text: Column) -> Column:
 
 
 def to_rupees(paise: Column) -> Column:
-    """Paise as rupees with two places, cast back because division widens the scale."""
-    return (paise.cast(PAISE) / F.lit(100).cast("decimal(3,0)")).cast(RUPEES)
+    """Paise as rupees with two places, cast back because multiplying widens the precision."""
+    return (paise.cast(PAISE) * F.lit("0.01").cast("decimal(3,2)")).cast(RUPEES)
 
 
 def paise_text_to_rupees(text: Column) -> Column:

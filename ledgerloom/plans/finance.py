@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import money
+from ledgerloom.functions import markup, money
 from ledgerloom.sources.ledger import Ledger, with_tables
 
 
@@ -49,12 +49,12 @@ def budget_departments(spark, sf_dir):
 def amounts_to_paise(spark, sf_dir):
     """Each line's price printed in rupees, lakh and crore and read back to exact paise, and shown again."""
     price = F.col("allocated_inr").cast("string")
-    rows = Ledger(spark, sf_dir).scheme_finance.select("object_code", "allocated_inr", price.alias("digits"))
+    rows = markup.bound(Ledger(spark, sf_dir).scheme_finance, ["object_code"], digits=price)
     read = lambda unit: money.amount_to_paise(F.col("digits"), F.lit(unit))
-    crore = read("crore")
+    rupees = money.rupees_to_paise(F.concat(F.lit("₹ "), F.col("digits")))
+    rows = markup.bound(rows, ["object_code", "digits"], rupees_paise=rupees, lakh_paise=read("lakh"), crore_paise=read("crore"), thousand_paise=read("thousand"))
     return rows.select(
-        "object_code", money.rupees_to_paise(F.concat(F.lit("₹ "), F.col("digits"))).alias("rupees_paise"), read("lakh").alias("lakh_paise"), crore.alias("crore_paise"),
-        money.decimal_string(crore).alias("crore_rupees"), money.to_rupees(read("thousand")).alias("thousand_inr"),
+        "object_code", "rupees_paise", "lakh_paise", "crore_paise", money.decimal_string(F.col("crore_paise")).alias("crore_rupees"), money.to_rupees(F.col("thousand_paise")).alias("thousand_inr"),
         money.amount_to_paise(F.col("digits"), F.lit(None).cast("string")).alias("bare_refused"),
     )
 
