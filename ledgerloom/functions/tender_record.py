@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import money, text
+from ledgerloom.functions import markup, money, text
 
 # The labels that portals print each field under, in order of preference.
 LABELS = {
@@ -43,6 +43,22 @@ def printed_together(fields: Column, names: tuple[str, ...], separator: str) ->
 
 def record(detail: Column) -> Column:
     """The fields of a tender whose columns stand beside ``detail``, its page's labels and values."""
+    return F.concat(*_sections(detail).values())
+
+
+def with_fields(tenders: DataFrame, kept: list[str]) -> DataFrame:
+    """The kept columns, each section's fields (``what_fields`` ..) and all as ``fields``; a tender's page is made once and not once a label.
+
+    Each section is a step of its own: the code of all 27 fields in one is too long for the JVM to compile.
+    """
+    rows = markup.bound(tenders, [c for c in tenders.columns if c != "detail_fields"], detail_fields=F.col("detail_fields"))
+    made = {f"{name}_fields": fields for name, fields in _sections(F.col("detail_fields")).items()}
+    for name, fields in made.items():
+        rows = markup.bound(rows, rows.columns, **{name: fields})
+    return markup.bound(rows, [*kept, *made], fields=F.concat(*made))
+
+
+def _sections(detail: Column) -> dict[str, Column]:
     unread = F.when(detail.isNull(), NOT_READ).otherwise(NOT_ON_PAGE)
     district = F.when(F.col("district_source").isNotNull(), F.col("district_name"))
     offices = F.nullif(F.array_join(text.chain_segments(F.coalesce("organisation_chain", F.lit(""))), "||"), F.lit(""))
@@ -86,7 +102,7 @@ def record(detail: Column) -> Column:
             ("workProgress", "text", nothing, F.lit(NO_PROGRESS)),
         ],
     }
-    return F.array(*[_field(section, *field) for section, fields in sections.items() for field in fields])
+    return {section: F.array(*[_field(section, *field) for field in fields]) for section, fields in sections.items()}
 
 
 def _field(section: str, name: str, kind: str, value: Column, why: Column) -> Column:
@@ -96,9 +112,13 @@ def _field(section: str, name: str, kind: str, value: Column, why: Column) -> Co
 
 def missing_by_reason(fields: Column) -> Column:
     """array<struct(why, fields)>: each reason once, in the order of its first field, with its fields in order."""
-    absent = F.filter(fields, lambda f: f["why"].isNotNull())
-    reasons = F.array_distinct(F.transform(absent, lambda f: f["why"]))
-    return F.transform(reasons, lambda why: F.struct(why.alias("why"), F.transform(F.filter(absent, lambda f: f["why"] == why), lambda f: f["field"]).alias("fields")))
+
+    def grouped(absent: Column) -> Column:
+        """absent: a bound name, so that the missing fields are picked once and not once a reason."""
+        named = lambda why: F.filter(absent, lambda f: f["why"] == why)["field"]
+        return F.transform(F.array_distinct(absent["why"]), lambda why: F.struct(why.alias("why"), named(why).alias("fields")))
+
+    return F.element_at(F.transform(F.array(F.filter(fields, lambda f: f["why"].isNotNull())), grouped), 1)
 
 
 def status(closing_at: Column, as_of: Column) -> Column:

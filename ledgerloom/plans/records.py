@@ -37,11 +37,13 @@ def tender_records(spark, sf_dir):
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("decimal(20,2)").cast("string")).alias("value_inr"), F.lit(None).cast("string").alias("emd_inr"),
         F.when(key % 11 != 0, day).alias("closing_at"), F.lit(None).cast("string").alias("bid_opening_at"), detail.alias("detail_fields"),
     )
-    rows = tenders.select("id", tender_record.status(F.to_timestamp("closing_at"), as_of()).alias("status"), tender_record.record(F.col("detail_fields")).alias("fields"))
-    rows = tender_record.with_changes(rows, x.raw("lineitem").select(F.col("l_orderkey").alias("tender_id")))
-    said = lambda f: F.concat(f["field"], F.coalesce(F.concat(F.lit("="), f["kind"], F.lit(":"), f["value"]), F.concat(F.lit("!"), f["why"])))
-    section = lambda s: F.array_join(F.transform(F.filter("fields", lambda f: f["section"] == s), said), ";").alias(f"{s}_section")
-    missing = F.transform(tender_record.missing_by_reason(F.col("fields")), lambda r: F.concat(r["why"], F.lit(":"), F.array_join(r["fields"], ",")))
+    # changes are joined while rows are narrow
+    tenders = tender_record.with_changes(tenders, x.raw("lineitem").select(F.col("l_orderkey").alias("tender_id")))
+    rows = tender_record.with_fields(tenders.withColumn("status", tender_record.status(F.to_timestamp("closing_at"), as_of())), ["id", "status", "changes"])
+    # concat works its type out anew for every value inside a lambda, concat_ws doesn't
+    said = lambda f: F.when(f["value"].isNull(), F.concat_ws("!", f["field"], f["why"])).otherwise(F.concat_ws(":", F.concat_ws("=", f["field"], f["kind"]), f["value"]))
+    section = lambda s: F.array_join(F.transform(f"{s}_fields", said), ";").alias(f"{s}_section")
+    missing = F.transform(tender_record.missing_by_reason(F.col("fields")), lambda r: F.concat_ws(":", r["why"], F.array_join(r["fields"], ",")))
     return rows.select("id", "status", "changes", *[section(s) for s in SECTIONS], F.array_join(missing, ";").alias("missing"))
 
 
