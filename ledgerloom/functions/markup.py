@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
 
+# Named references but the ampersand's, and marks of a row's and a cell's beginning, which are no white space.
+NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
+_ROW, _CELL = "\x01", "\x02"
+
 
 def decode_entities(text: Column) -> Column:
     """The listed named references and numeric ones; what is no character stays as it is; the ampersand last."""
     out, untouched = text, ~F.contains(text, F.lit("&"))
-    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+    for name, value in NAMED:
         out = F.replace(out, F.lit(name), F.lit(value))
     # a code point is its four bytes in UTF-32; surrogates and numbers beyond the last plane are no characters
     character = lambda n: F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
@@ -24,7 +28,8 @@ def decode_entities(text: Column) -> Column:
 
 def bound(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
     """The kept columns and the new ones, each evaluated once: a generator of one row, through which no later use is substituted."""
-    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    made = df.select(*kept, *[c.alias(f"_bound_{n}") for n, c in columns.items()])
+    return made.select(*kept, F.inline(F.array(F.struct(*[F.col(f"_bound_{n}").alias(n) for n in columns]))))
 
 
 def plain(cell: Column) -> Column:
@@ -33,8 +38,31 @@ def plain(cell: Column) -> Column:
 
 
 def rows_by_split(html: Column) -> Column:
-    """array<array<string>>: rows and cells by their opening tags alone, so missing closing tags do no harm."""
-    rows = F.filter(F.split(html, "(?i)<tr[^>]*>"), lambda r, i: i > 0)
+    """array<array<string>>: rows and cells by their opening tags alone, so missing closing tags do no harm.
+
+    The whole page is cleaned at once, with a mark where a row and where a cell begins; a page that holds such a mark itself
+    or a numeric reference, which could give one, is cleaned cell by cell.
+    """
+    odd = F.contains(html, F.lit("&#")) | F.contains(html, F.lit(_ROW)) | F.contains(html, F.lit(_CELL))
+    parts = F.array(F.split(html, "(?i)<tr[^>]*>"))
+    return F.element_at(F.transform(parts, lambda p: F.when(odd, _cells_by_cell(p)).otherwise(_cells_at_once(p))), 1)
+
+
+def _cells_at_once(parts: Column) -> Column:
+    """The cells of a page's parts, the first of which stands before any row."""
+    out = F.regexp_replace(F.array_join(parts, _ROW), f"(?i)<t[dh][^>{_ROW}]*>", _CELL)
+    out = F.regexp_replace(F.regexp_replace(out, f"(?i)</t[dhr][^{_ROW}{_CELL}]*", ""), f"<[^>{_ROW}{_CELL}]*>", " ")
+    for name, value in (*NAMED, ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(value))
+    out = F.regexp_replace(out, r"(?U)\s+", " ")
+    for mark in (_ROW, _CELL):
+        out = F.replace(F.replace(out, F.lit(f" {mark}"), F.lit(mark)), F.lit(f"{mark} "), F.lit(mark))
+    cells = F.transform(F.filter(F.split(F.trim(out), _ROW), lambda r, i: i > 0), lambda r: F.filter(F.split(r, _CELL), lambda c, i: i > 0))
+    return F.filter(cells, lambda r: F.size(r) > 0)
+
+
+def _cells_by_cell(parts: Column) -> Column:
+    rows = F.filter(parts, lambda r, i: i > 0)
     return F.filter(F.transform(rows, lambda r: F.transform(F.filter(F.split(r, "(?i)<t[dh][^>]*>"), lambda c, i: i > 0), lambda c: plain(F.regexp_replace(c, "(?is)</t[dhr].*$", "")))), lambda r: F.size(r) > 0)
 
 

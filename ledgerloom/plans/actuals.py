@@ -28,8 +28,8 @@ def _reports(x: Ledger):
     amount = F.concat(F.col("all").cast("string"), F.when(unit % 29 == 0, "00000001").otherwise(""))
     dash = F.when(unit % 2 == 0, " -").otherwise(" – ")
     cells = lambda first: F.concat(F.lit("<tr><td>"), F.col("code"), dash, F.lit("Works &amp; "), F.col("code"), F.lit("</td><td>"), first, F.lit("</td><td align=right>"), back, F.lit("</td><td>"), F.format_number("all", 2), F.lit("</td><td>0.000</td></tr>"))
-    rows = sums.groupBy("unit_id", "fiscal_year", "edition").agg(F.array_sort(F.collect_list(F.struct("code", cells(amount).alias("first"), cells(F.lit("9.0")).alias("second")))).alias("rows"))
-    joined = lambda field: F.array_join(F.transform("rows", lambda r: r[field]), "")
+    rows = sums.groupBy("unit_id", "fiscal_year", "edition").agg(F.sort_array(F.collect_list(F.struct("code", cells(amount).alias("first"), cells(F.lit("9.0")).alias("second")))).alias("rows"))
+    joined = lambda field: F.array_join(F.col(f"rows.{field}"), "")
     months = F.when(unit % 3 == 0, "Yearly Budget july - September").when(unit % 3 == 1, "Yearly Budget April-March").otherwise("")
     said = F.when(unit % 17 == 0, "Amounts In Thousands").otherwise("(Amount&nbsp;in Crores)")
     head = F.concat(F.lit("<tr><th>"), F.when(unit % 13 == 0, "Dept").otherwise("Department"), F.lit("</th><th>"), F.when(unit % 19 == 0, "Budget").otherwise("budgeted"), F.lit("</th><th>Released</th><th>BEAMS Expenditure</th><th>Actual Expenditure in Treasury</th></tr>"))
