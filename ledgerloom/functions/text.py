@@ -26,6 +26,7 @@ DISTRICT_WORDS = r"(?i)\b(?:district|distt?|zilla|zila|jilla|jila)\b\.?"
 OFFICE_GRADE = r"(?iU)\s+(?:[bshg]\.?\s?o\.?|gpo|head office|sub office|branch office)\s*$"
 SUBSTITUTED_GLYPH = r"[\x{0900}-\x{097F}][A-Za-z<>{}\[\]!@#$%^&*|~`]|[A-Za-z<>{}\[\]!@#$%^&*|~`][\x{0900}-\x{097F}]"
 ENOUGH_DEVANAGARI = 20
+LOST_MARKS = 2
 CONTEXT_CHARS = 160
 _LOCATED = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _DEVANAGARI, _TAMIL, _LATIN = r"[\x{0900}-\x{097F}]", r"[\x{0B80}-\x{0BFF}]", r"\p{IsLatin}"
@@ -48,7 +49,7 @@ def substituted_marks(page: Column) -> Column:
 
 
 def lost_its_mark(page: Column) -> Column:
-    return F.coalesce(substituted_marks(page) >= 2, F.lit(False))
+    return F.coalesce(substituted_marks(page) >= LOST_MARKS, F.lit(False))
 
 
 def collapse(text: Column) -> Column:
@@ -95,14 +96,14 @@ def context_around(text: Column, start: Column, end: Column) -> Column:
 def script_of(text: Column) -> Column:
     """latin, devanagari, tamil, mixed or none."""
     deva, tamil, latin = text.rlike(_DEVANAGARI), text.rlike(_TAMIL), text.rlike(_LATIN)
-    return (
-        F.when(text.isNull(), "none").when(deva & tamil, "mixed").when(deva & latin, "mixed").when(deva, "devanagari")
-        .when(tamil & latin, "mixed").when(tamil, "tamil").when(latin, "latin").otherwise("none")
-    )
+    # nested, so that a text is looked through once for each script at most
+    beside = lambda others, alone: F.when(others, "mixed").otherwise(alone)
+    return F.when(text.isNull(), "none").when(deva, beside(tamil | latin, "devanagari")).when(tamil, beside(latin, "tamil")).when(latin, "latin").otherwise("none")
 
 
 def half_of_page(content: Column) -> Column:
-    return F.when(F.regexp_count(content, F.lit(_DEVANAGARI)) > F.regexp_count(content, F.lit("[A-Za-z]")), "devanagari").otherwise("latin")
+    left = lambda others: F.length(F.regexp_replace(content, others, ""))  # regexp_count makes an array of all letters
+    return F.when(left(r"[^\x{0900}-\x{097F}]+") > left("[^A-Za-z]+"), "devanagari").otherwise("latin")
 
 
 def glyph_substitution(content: Column) -> Column:

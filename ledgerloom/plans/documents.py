@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import money, state, text
+from ledgerloom.functions import markup, money, state, text
 from ledgerloom.operators import postings, reconcile, search
 from ledgerloom.sources.ledger import Ledger, with_tables
 
@@ -65,8 +65,9 @@ def sentence_counts(spark, sf_dir):
 
 def script_and_half(spark, sf_dir):
     t = F.col("text")
-    rows = Ledger(spark, sf_dir).document
-    return rows.groupBy("lang", text.script_of(t).alias("script"), text.half_of_page(t).alias("half"), text.declares_unit(t).alias("declares_unit"), text.lost_its_mark(t).alias("lost_mark")).agg(F.count("*").alias("documents"), F.sum(text.substituted_marks(t)).alias("marks"))
+    rows = markup.bound(Ledger(spark, sf_dir).document, ["lang"], script=text.script_of(t), half=text.half_of_page(t), declares_unit=text.declares_unit(t), marks=text.substituted_marks(t))
+    lost = F.coalesce(F.col("marks") >= text.LOST_MARKS, F.lit(False)).alias("lost_mark")
+    return rows.groupBy("lang", "script", "half", "declares_unit", lost).agg(F.count("*").alias("documents"), F.sum("marks").alias("marks"))
 
 
 def secret_scrub(spark, sf_dir):
