@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import Cut
 
-#: Queries that go to the tasks at once, and that meet a batch of vectors at once.
+#: Queries that go to the tasks at once, and that meet a piece of vectors at once.
 BLOCK, STEP = 16_384, 512
+#: Vectors of a batch that meet a step's queries at once, and pairs whose exact distances are held at once.
+PIECE, PAIRS = 4096, 100_000
 #: Standard deviations of the estimate that the bounds allow for.
 EPSILON = 3.0
 SEED = 2
@@ -158,32 +160,32 @@ def _search_block(index: DataFrame, ids: np.ndarray, queries: np.ndarray, centre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
-        best = _Best(len(ids), k)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own_ids = batch.column(0).to_numpy()
-            v = _matrix(batch.column(1), size)
-            bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(v), -1)
-            length, own = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            found = []
-            for a in range(0, len(ids), STEP):
-                q, qid = queries[a : a + STEP], ids[a : a + STEP]
-                low, high = bounds(bits, length, own, q, centre, turn)
-                self_pair = own_ids[:, None] == qid[None, :]
-                low[self_pair] = np.inf
-                high[self_pair] = np.inf
-                limit = best.limit[a : a + STEP] ** 2 * (1 + 1e-9)
-                if len(v) >= k:
-                    limit = np.minimum(limit, np.partition(high, k - 1, axis=0)[k - 1])
-                at, of = np.nonzero((low <= limit) & ~self_pair)
-                for b in range(0, len(at), 100_000):
-                    x, y = at[b : b + 100_000], of[b : b + 100_000]
-                    gap = v[x] - q[y]
-                    found.append((y + a, own_ids[x], np.sqrt((gap * gap).sum(axis=1))))
-            if found:
-                best.add(*(np.concatenate(c) for c in zip(*found, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.vector), pa.array(best.score)], ["query_id", "vec_id", "score"])
+        best = [_Best(len(ids[a : a + STEP]), k) for a in range(0, len(ids), STEP)]
+        for whole in batches:
+            for batch in (whole.slice(c, PIECE) for c in range(0, whole.num_rows, PIECE)):
+                own_ids = batch.column(0).to_numpy()
+                v = _matrix(batch.column(1), size)
+                bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(v), -1)
+                length, own = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+                for a, held in zip(range(0, len(ids), STEP), best, strict=True):
+                    q, qid = queries[a : a + STEP], ids[a : a + STEP]
+                    low, high = bounds(bits, length, own, q, centre, turn)
+                    self_pair = own_ids[:, None] == qid[None, :]
+                    low[self_pair] = np.inf
+                    high[self_pair] = np.inf
+                    limit = held.limit**2 * (1 + 1e-9)
+                    if len(v) >= k:
+                        limit = np.minimum(limit, np.partition(high, k - 1, axis=0)[k - 1])
+                    at, of = np.nonzero((low <= limit) & ~self_pair)
+                    for b in range(0, len(at), PAIRS):
+                        x, y = at[b : b + PAIRS], of[b : b + PAIRS]
+                        gap = v[x] - q[y]
+                        score = np.sqrt((gap * gap).sum(axis=1))
+                        near = score <= held.limit[y]
+                        if near.any():
+                            held.add(y[near], own_ids[x[near]], score[near])
+        for a, held in zip(range(0, len(ids), STEP), best, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + STEP][held.query]), pa.array(held.vector), pa.array(held.score)], ["query_id", "vec_id", "score"])
 
     return index.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
