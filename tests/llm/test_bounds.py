@@ -7,8 +7,9 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann
+from ledgerloom.llm import ann, line_dedup
 
 
 def _searched(batches, ids, queries, centre, k):
@@ -37,3 +38,43 @@ def test_a_search_holds_no_more_than_a_step_of_pairs():
         gap = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
         gap[q] = np.inf
         assert [i for _, i in sorted(found[q])] == np.argsort(gap, kind="stable")[:10].tolist()
+
+
+def _random_lines(draw, n, words):
+    """Lines of words of three letters, and of each line a copy with some words exchanged."""
+    pool = ["".join(x) for x in draw.choice(list("abcdefghijklmnopqrstuvwxyz"), size=(4000, 3))]
+    for i in range(n):
+        line = draw.choice(pool, words[i % len(words)])
+        yield " ".join(line)
+        line[draw.choice(len(line), int(len(line) * (0.03, 0.08, 0.3)[i % 3]), replace=False)] = draw.choice(pool)
+        yield " ".join(line)
+
+
+def test_pairs_that_may_be_alike_are_all_links_and_few_others(spark):
+    texts = sorted(set(_random_lines(np.random.default_rng(5), 90, (14, 31, 33, 64, 70, 150, 400))))
+    lines = line_dedup._lines(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    sketched = line_dedup._sketched(line_dedup._signatures(lines)).localCheckpoint()
+    side = lambda s: line_dedup._side(sketched, s).join(sketched.select(F.col("h").alias(f"h_{s}"), F.col("id").alias(f"id_{s}")), f"h_{s}")
+    hopeful = {tuple(r) for r in side("x").join(side("y"), F.expr(f"id_x < id_y AND {line_dedup._hopeful('x', 'y', 80)}")).select("id_x", "id_y").collect()}
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(texts)) for b in range(a + 1, len(texts))}
+    links, unlike = {p for p, j in like.items() if j >= 0.8}, {p for p, j in like.items() if j < 0.4}
+    assert len(links) > 25 and links <= hopeful
+    assert len(unlike & hopeful) < len(unlike) / 200  # the sketches alone let some percent of them through
+
+
+def test_fuzzy_lines_do_not_depend_on_the_turns(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    base = " ".join("".join(x) for x in draw.choice(list("abcdefghij"), size=(60, 4))).split()
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for k in draw.choice(60, i % 9, replace=False):
+            words[k] = f"x{i}{k}"
+        rows.append((i, "head\n" + " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, line_dedup.report(frame).collect()))
+    monkeypatch.setattr(line_dedup, "MET_A_LINE", 30)
+    monkeypatch.setattr(line_dedup, "PAIRS_A_LINE", 8)
+    assert sorted(map(tuple, line_dedup.report(frame).collect())) == want
+    assert sum(r[2] for r in want) > 60
