@@ -39,8 +39,8 @@ def leading_date(text: Column) -> Column:
     return _date(text, r"^([0-9]{1,2})[\s-]+([A-Za-z]+)[\s-]+([0-9]{4})\b", short=True)
 
 
-def _structure(pages: DataFrame) -> DataFrame:
-    read = markup.bound(tables.bounded(pages).withColumn("read", tables.structure("html")), ["page_id"], read=F.col("read"))
+def _structure(pages: DataFrame, whole: bool = True) -> DataFrame:
+    read = markup.bound(tables.bounded(pages).withColumn("read", (tables.structure if whole else tables.outline)("html")), ["page_id"], read=F.col("read"))
     return read.select("page_id", "read.rows", "read.links")
 
 
@@ -58,9 +58,12 @@ def _data(row: Column) -> Column:
     return F.filter(row["cells"], lambda c: ~c["head"])
 
 
-def by_class(pages: DataFrame, origin: str) -> DataFrame:
-    """Columns by class. Refusals: no_table (none of the class with a row), missing_columns, no_rows. Links to PDFs become absolute and distinct."""
-    read = _structure(pages)
+def by_class(pages: DataFrame, origin: str, whole: bool = True) -> DataFrame:
+    """Columns by class. Refusals: no_table (none of the class with a row), missing_columns, no_rows. Links to PDFs become absolute and distinct.
+
+    Not whole: for the refusals alone, rows stay unread.
+    """
+    read = _structure(pages, whole)
     pages_named = F.transform("links", lambda h: F.nullif(F.regexp_extract(h, r"[?&]page=([0-9]+)", 1), F.lit("")).try_cast("int"))
     read = markup.bound(read, ["page_id"], rows=_of_table(CLASS_TABLE), last_page=F.array_max(pages_named))
     held = F.flatten(F.transform(_heads(F.col("rows")), lambda c: c["classes"]))
@@ -73,15 +76,16 @@ def by_class(pages: DataFrame, origin: str) -> DataFrame:
         links = F.filter(F.flatten(F.transform(row["cells"], lambda c: c["links"])), lambda h: h.rlike(r"(?i)\.pdf($|\?)"))
         return F.struct(*[text(c).alias(n) for n, c in CLASS_COLUMNS.items()], F.array_distinct(F.transform(links, absolute)).alias("documents"))
 
-    body = F.transform(F.filter("rows", lambda r: r["body"]), listed)
+    body = F.filter("rows", lambda r: r["body"])
+    body = F.transform(body, listed) if whole else body
     read = markup.bound(read, ["page_id", "last_page"], table=F.col("rows").isNotNull(), missing=F.size(F.array_except(F.array(*[F.lit(CLASS_PREFIX + CLASS_COLUMNS[n]) for n in CLASS_NEEDED]), held)), rows=body)
     refusal = F.when(~F.col("table"), "no_table").when(F.col("missing") > 0, "missing_columns").when(F.size("rows") == 0, "no_rows")
     return markup.bound(read, ["page_id", "last_page", "rows"], refusal=refusal)
 
 
-def by_headers(pages: DataFrame) -> DataFrame:
-    """Columns by place, trusted only if the first five headers are the known ones. Refusals: no_table, unexpected_columns, no_rows."""
-    read = markup.bound(_structure(pages), ["page_id"], rows=_of_table(ORDERED_TABLE))
+def by_headers(pages: DataFrame, whole: bool = True) -> DataFrame:
+    """Columns by place, trusted only if the first five headers are the known ones. Refusals: no_table, unexpected_columns, no_rows. Not whole: for these alone."""
+    read = markup.bound(_structure(pages, whole), ["page_id"], rows=_of_table(ORDERED_TABLE))
     heads = F.slice(F.transform(_heads(F.col("rows")), lambda c: F.lower(c["text"])), 1, len(ORDERED_HEADERS))
 
     def listed(row: Column) -> Column:
@@ -89,7 +93,8 @@ def by_headers(pages: DataFrame) -> DataFrame:
         links = F.filter(F.transform(cell(4)["links"], lambda h: F.trim(h)), lambda h: h.rlike(r"""(?i)^https?://[^\s<>"]+\.pdf(\?[^\s<>"]*)?$"""))
         return F.struct(*[cell(i)["text"].alias(n) for i, n in enumerate(("serial", "published", "closing", "title"))], F.array_distinct(links).alias("documents"))
 
-    body = F.transform(F.filter("rows", lambda r: F.size(_data(r)) >= len(ORDERED_HEADERS)), listed)
+    body = F.filter("rows", lambda r: F.size(_data(r)) >= len(ORDERED_HEADERS))
+    body = F.transform(body, listed) if whole else body
     read = markup.bound(read, ["page_id"], table=F.col("rows").isNotNull(), known=heads == F.array(*[F.lit(h) for h in ORDERED_HEADERS]), rows=body)
     refusal = F.when(~F.col("table"), "no_table").when(~F.col("known"), "unexpected_columns").when(F.size("rows") == 0, "no_rows")
     return markup.bound(read, ["page_id", "rows"], refusal=refusal)

@@ -80,7 +80,7 @@ def directory_units(spark, sf_dir):
 def listing_refusals(spark, sf_dir):
     """Pages that none of the three readers takes, by reader and reason."""
     x = Ledger(spark, sf_dir)
-    each = {"by_class": listings.by_class(_class_pages(x), ORIGIN), "by_headers": listings.by_headers(_ordered_pages(x)), "directory": listings.directory(_directory_pages(x))}
+    each = {"by_class": listings.by_class(_class_pages(x), ORIGIN, whole=False), "by_headers": listings.by_headers(_ordered_pages(x), whole=False), "directory": listings.directory(_directory_pages(x))}
     first, *rest = [listings.refusals(read).select(F.lit(name).alias("reader"), "page_id", "refusal") for name, read in each.items()]
     return first.unionByName(rest[0]).unionByName(rest[1])
 
