@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -79,29 +80,50 @@ _ARROW_FOUND = pa.list_(pa.struct([(n, pa.int32() if n in ("at", "to", "char_sta
 CHUNK_CHARS = 1 << 20
 
 
+_WHITE = re.compile(r"\s(?:\s+|(?<! ))")
+
+
+def _sentences(flat: str, breaks: re.Pattern) -> Iterator[tuple[int, int]]:
+    """The places of a flat text's sentences; a break is looked for where a full stop and a space stand."""
+    cursor, at = 0, flat.find(". ")
+    while at >= 0:
+        m = breaks.match(flat, at)
+        if m:
+            yield cursor, at
+            cursor = m.end()
+        at = flat.find(". ", m.end() if m else at + 1)
+    yield cursor, len(flat)
+
+
 def _matches(page: str, patterns: list, breaks: re.Pattern) -> list[dict]:
     out: list[dict] = []
     # where white space becomes one space, in the flat text, and how many characters are gone after it
     places, gone, flat, end = [], [0], [], 0
-    for m in re.finditer(r"\s(?:\s+|(?<! ))", page):
-        flat += (page[end : m.start()], " ")
-        places.append(m.start() - gone[-1])
-        gone.append(gone[-1] + m.end() - m.start() - 1)
-        end = m.end()
+    for m in _WHITE.finditer(page):
+        start, after = m.span()
+        flat += (page[end:start], " ")
+        places.append(start - gone[-1])
+        gone.append(gone[-1] + after - start - 1)
+        end = after
     flat = "".join([*flat, page[end:]])
     source = lambda at: at + gone[bisect_left(places, at)]
-    cursor = 0
-    for m in [*breaks.finditer(flat), None]:
-        start, end = cursor, m.start() if m else len(flat)
-        cursor = m.end() if m else end
+    live = [(kind, pattern, h) for kind, pattern in patterns for h in [[h for h in _HINTS[kind] if h in flat]] if h]
+    if not live:
+        return out
+    for start, end in _sentences(flat, breaks):
         sentence = flat[start:end].strip()
-        lead = start + len(flat[start:end]) - len(flat[start:end].lstrip())
-        for kind, pattern in patterns if sentence else ():
-            if any(h in sentence for h in _HINTS[kind]):
-                for x in pattern.finditer(sentence):
-                    if x.end() > x.start():
-                        groups = (*x.groups(), None)
-                        out.append({"kind": kind, "sentence": sentence, "at": x.start(), "to": x.end(), "first": groups[0], "second": groups[1], "char_start": source(lead + x.start()), "char_end": source(lead + x.end() - 1) + 1})
+        lead = flat.find(sentence, start)
+        for kind, pattern, hints in live if sentence else ():
+            for h in hints:
+                if h in sentence:
+                    break
+            else:
+                continue
+            for x in pattern.finditer(sentence):
+                a, b = x.span()
+                if b > a:
+                    groups = (*x.groups(), None)
+                    out.append({"kind": kind, "sentence": sentence, "at": a, "to": b, "first": groups[0], "second": groups[1], "char_start": source(lead + a), "char_end": source(lead + b - 1) + 1})
     return out
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.functions import tables
+import re
+
+from ledgerloom.functions import page_facts, tables, text
 from ledgerloom.operators import listings
 
 HEADS = "<tr><th>Sr. No<th>Publication  <b>Date</b><th>Last Date/ Time of Submission<th>Name of Work<th>Tender Notice"
@@ -32,3 +34,22 @@ def test_plain_links_are_read_as_by_the_parser():
         tag, one = f'<a href="{href}">', tables._Tag(convert_charrefs=True)
         one.feed(tag)
         assert tables._step(tag)[:2] == one.step[:2]
+
+
+def test_sentences_are_looked_for_at_full_stops_only():
+    seen = []
+
+    class Breaks:
+        def match(self, flat, at):
+            seen.append(flat[at : at + 2])
+            return re.compile(text.SENTENCE_BREAK).match(flat, at)
+
+        def finditer(self, flat):
+            raise AssertionError("every character is tried")
+
+    patterns = [(kind, re.compile(p.replace("(?U)", ""))) for kind, p in page_facts._KINDS]
+    page = "M/s. Firm Xab Works had Rs. 5 lakh.\n\x1f  Government  of Xania had ₹ 7.5 crore. A. ₹ 3"
+    got = [(m["kind"], m["sentence"], page[m["char_start"] : m["char_end"]]) for m in page_facts._matches(page, patterns, Breaks())]
+    assert set(seen) == {". "} and len(seen) == 5
+    assert [g[::2] for g in got if g[0] != "contractor_reference"] == [("amount", "Rs. 5 lakh"), ("amount", "₹ 7.5 crore"), ("government", "Government  of Xania"), ("amount", "₹ 3")]
+    assert [s for _, s, _ in got][-3:] == ["Government of Xania had ₹ 7.5 crore", "Government of Xania had ₹ 7.5 crore", "A. ₹ 3"]
