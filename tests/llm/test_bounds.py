@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, line_dedup
+from ledgerloom.llm import ann, langid, line_dedup
 
 
 def _searched(batches, ids, queries, centre, k):
@@ -78,3 +78,8 @@ def test_fuzzy_lines_do_not_depend_on_the_turns(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "PAIRS_A_LINE", 8)
     assert sorted(map(tuple, line_dedup.report(frame).collect())) == want
     assert sum(r[2] for r in want) > 60
+
+
+def test_a_language_model_keeps_every_gram(spark):
+    order = spark.createDataFrame([("en", g, 1 + g % 5) for g in range(200)], "lang string, gram long, n long")
+    assert langid._kept(order, 10**6).select("gram").distinct().count() == 200
